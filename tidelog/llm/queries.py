@@ -7,9 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import mixing, quality, resharding, secrets, tokenfiles
+from tidelog.llm import decontam, langid, mixing, pii, quality, resharding, secrets, tokenfiles, toxicity
 from tidelog.llm.shared import table
 
+#: The key of the pseudonyms in the query; a deployment passes its own secret.
+KEY = b"tidelog example key"
+
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
@@ -19,6 +22,16 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def pages_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of pages, whose markup and address give evidence of their own."""
+    pages = langid.page_columns(table(spark, sf_dir, "pages"))
+    return langid.identify(pages, suffix="suffix").withColumnRenamed("doc_id", "page_id")
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = tokenfiles.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return packed.select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -29,17 +42,34 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), KEY)
+
+
 def op9_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resharding.assign(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
         "op2_quality_rules": op2_quality_rules,
+        "op3_language_id": op3_language_id,
         "op4_token_files": op4_token_files,
         "op6_mixing": op6_mixing,
+        "op7_decontamination": op7_decontamination,
+        "op8_pseudonyms": op8_pseudonyms,
         "op9_resharding": op9_resharding,
+        "op10_toxicity": op10_toxicity,
+        "pages_language_id": pages_language_id,
     }
 
 

@@ -19,6 +19,7 @@ SLICE_BYTES = 2 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_PUNCTUATION = np.array([0x20 < c < 0x7F and not chr(c).isalnum() for c in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -142,15 +143,41 @@ class Words:
             own = (total[self.ends] - total[self.starts]) * inverse[self.starts]
             return mix(own + (self.ends - self.starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
+    def trim(self) -> Words:
+        """The same words without ASCII punctuation at either end; a word of nothing else stays."""
+        starts, ends = self.starts.copy(), self.ends.copy()
+        if len(starts):
+            whole = ends.copy()
+            for _ in range(64):
+                cut = (ends - starts > 1) & _PUNCTUATION[self.data[ends - 1]]
+                if not cut.any():
+                    break
+                ends[cut] -= 1
+            for _ in range(64):
+                cut = (ends - starts > 1) & _PUNCTUATION[self.data[starts]]
+                if not cut.any():
+                    break
+                starts[cut] += 1
+            nothing = _PUNCTUATION[self.data[starts]]
+            starts[nothing], ends[nothing] = self.starts[nothing], whole[nothing]
+        out = Words(self.data, self.offsets)
+        out.__dict__ |= {"space": self.space, "starts": starts, "ends": ends, "first": self.first}
+        return out
+
+    def text(self, k: int) -> str:
+        return self.data[self.starts[k] : self.ends[k]].tobytes().decode(errors="replace")
+
     def characters(self) -> np.ndarray:
         """Code points inside the words of each row."""
         return sums(~self.space & ((self.data & 0xC0) != 0x80), self.offsets)
 
-    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+    def windows(self, width: int, values: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the windows of ``width`` words, and the n + 1 row offsets into them.
 
-        A row with fewer words, but one at least, has one window: all its words.
+        A row with fewer words, but one at least, has one window: all its words.  ``values``
+        stand for the words in place of their own hashes.
         """
+        values = self.hashes if values is None else values
         counts, first = self.counts, self.first
         last = np.repeat(first[1:], counts)
         where = np.arange(len(self.starts))
@@ -160,7 +187,7 @@ class Words:
         with np.errstate(over="ignore"):
             out = np.zeros(len(at), np.uint64)
             for k in range(width):
-                out = mix(out + self.hashes[at + k] * np.uint64(0xFF51AFD7ED558CCD))
+                out = mix(out + values[at + k] * np.uint64(0xFF51AFD7ED558CCD))
         number = np.maximum(counts - width + 1, 0) * (counts >= width) + short
         offsets = np.concatenate([[0], np.cumsum(number)])
         if not short.any():
@@ -171,7 +198,7 @@ class Words:
             value = np.full(1, 0x5851F42D4C957F2D, np.uint64)
             for k in range(first[row], first[row + 1]):
                 with np.errstate(over="ignore"):
-                    value = mix(value + self.hashes[k : k + 1] * np.uint64(0xFF51AFD7ED558CCD))
+                    value = mix(value + values[k : k + 1] * np.uint64(0xFF51AFD7ED558CCD))
             all_out[offsets[row]] = value[0]
         return all_out, offsets
 
