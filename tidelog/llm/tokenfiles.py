@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from tidelog.llm.shared import fresh_folder
 from tidelog.llm.textbytes import Words, slices, strings
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_200_000
 BATCH_SEQUENCES = 256
 
 
