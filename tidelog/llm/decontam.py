@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidelog.llm.textbytes import Words, slices, strings
 
@@ -142,8 +143,11 @@ def chunks(benchmark: DataFrame, windows: int = CHUNK_WINDOWS) -> list[Chunk]:
     return [*out, Chunk(held)] if held else out
 
 
-def find(docs: DataFrame, benchmark: DataFrame, share: float = 0.75, windows: int = CHUNK_WINDOWS) -> DataFrame:
-    """doc_id, leaked, items (ids of leaked items) and coverage (the largest) of every row of ``docs``."""
+def find(docs: DataFrame, benchmark: DataFrame, share: float = 0.75, windows: int = CHUNK_WINDOWS, carry: bool = False) -> DataFrame:
+    """doc_id, leaked, items (ids of leaked items) and coverage (the largest) of every row of ``docs``.
+
+    With ``carry`` the whole row comes along as the struct ``row``.
+    """
     spark = docs.sparkSession
     parts = [spark.sparkContext.broadcast(c) for c in chunks(benchmark, windows)]
 
@@ -168,6 +172,11 @@ def find(docs: DataFrame, benchmark: DataFrame, share: float = 0.75, windows: in
                             best[low + row] = max(best[low + row], covered)
             lists = pa.array([sorted(set(x)) for x in items], pa.list_(pa.int64()))
             leaked = pa.array([bool(x) for x in items], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), leaked, lists, pa.array(best)], ["doc_id", "leaked", "items", "coverage"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, leaked boolean, items array<long>, coverage double")
+            kept = [n for n in batch.schema.names if n != "text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), leaked, lists, pa.array(best)], [*kept, "leaked", "items", "coverage"])
+
+    rows = docs.select("doc_id", "text", *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else []))
+    schema = rows.drop("text").schema
+    for name, kind in (("leaked", T.BooleanType()), ("items", T.ArrayType(T.LongType())), ("coverage", T.DoubleType())):
+        schema = schema.add(name, kind)
+    return rows.mapInArrow(run, schema)

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidelog.llm.shared import cut
 from tidelog.llm.textbytes import raw, slices, strings
@@ -115,20 +116,24 @@ def _logs(names: list[str], counts: str, total: str, prior: list[Column], weight
     return F.array(*(one(k, n) for k, n in enumerate(names)))
 
 
-def _by(best: DataFrame, key: str, names: list[str]) -> DataFrame:
+def _by(best: DataFrame, key: str) -> DataFrame:
     """One row per value of ``key``: counts by best language, and the total."""
     counts = best.groupBy(key, "best").agg(F.count("*").alias("n")).groupBy(key)
     return counts.agg(F.map_from_entries(F.collect_list(F.struct("best", "n"))).alias(f"{key}_counts"), F.sum("n").alias(f"{key}_total")).withColumnRenamed(key, f"_{key}")
 
 
-def identify(docs: DataFrame, declared: str = "lang", host: str = "source", suffix: str | None = None, min_probability: float = 0.5, temper: float = 0.2, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """Language, probability and verdict of every row of ``docs`` (doc_id, text and the named columns)."""
+def identify(docs: DataFrame, declared: str = "lang", host: str = "source", suffix: str | None = None, min_probability: float = 0.5, temper: float = 0.2, sample_rows: int = SAMPLE_ROWS, carry: bool = False) -> DataFrame:
+    """Language, probability and verdict of every row of ``docs`` (doc_id, text and the named columns).
+
+    With ``carry`` the whole row comes along as the struct ``row``.
+    """
     named = lambda c: F.col(c).cast("string") if c else F.lit(None).cast("string")
-    rows = docs.select("doc_id", named("text").alias("text"), F.lower(named(declared)).alias("declared"), named(host).alias("host"), named(suffix).alias("suffix"))
+    rows = docs.select("doc_id", named("text").alias("text"), F.lower(named(declared)).alias("declared"), named(host).alias("host"), named(suffix).alias("suffix"), *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else []))
+    own = ["row"] if carry else []
     names, table = fit(rows, sample_rows)
     if not names:
-        return rows.select("doc_id", F.lit(NONE).alias("language"), F.lit(0.0).alias("probability"), F.lit(False).alias("kept"), "declared")
-    scored = cut(rows.mapInArrow(_likelihoods(table), "doc_id long, declared string, host string, suffix string, logs array<double>"), "language-likelihoods")
+        return rows.select("doc_id", F.lit(NONE).alias("language"), F.lit(0.0).alias("probability"), F.lit(False).alias("kept"), "declared", *own)
+    scored = cut(rows.mapInArrow(_likelihoods(table), rows.drop("text").schema.add("logs", T.ArrayType(T.DoubleType()))), "language-likelihoods")
     all_names = [*names, NONE]
     best = F.element_at(F.array(*map(F.lit, all_names)), F.array_position("logs", F.array_max("logs")).cast("int"))
     best = F.when(F.array_min("logs") == F.array_max("logs"), F.lit(NONE)).otherwise(best)
@@ -139,13 +144,13 @@ def identify(docs: DataFrame, declared: str = "lang", host: str = "source", suff
     prior = [F.lit((whole.get(n, 0) + 1.0) / (total + len(all_names))) for n in all_names]
     joined = scored
     for key in ("suffix", "host", "declared"):
-        joined = joined.join(_by(scored, key, all_names), F.col(key).eqNullSafe(F.col(f"_{key}")), "left").drop(f"_{key}")
+        joined = joined.join(cut(_by(scored, key), "language-counts"), F.col(key).eqNullSafe(F.col(f"_{key}")), "left").drop(f"_{key}")
     joined = joined.withColumn("by_suffix", _logs(all_names, "suffix_counts", "suffix_total", prior, 50.0))
     joined = joined.withColumn("by_host", _logs(all_names, "host_counts", "host_total", [F.col("by_suffix")[k] for k in range(len(all_names))], 20.0))
     # P(declared | language), up to the factor P(declared): P(language | declared) / P(language).
     joined = joined.withColumn("by_declared", _logs(all_names, "declared_counts", "declared_total", prior, 20.0))
     score = [temper * F.col("logs")[k] + F.log(F.col("by_host")[k]) + F.log(F.col("by_declared")[k]) - F.log(prior[k]) for k in range(len(all_names))]
-    joined = joined.select("doc_id", "declared", F.array(*score).alias("score"), (F.array_max("logs") == F.array_min("logs")).alias("bare"))
+    joined = joined.select("doc_id", "declared", F.array(*score).alias("score"), (F.array_max("logs") == F.array_min("logs")).alias("bare"), *own)
     top = F.array_max("score")
     probability = 1.0 / F.aggregate("score", F.lit(0.0), lambda a, x: a + F.exp(x - F.array_max("score")))
     language = F.element_at(F.array(*map(F.lit, all_names)), F.array_position("score", top).cast("int"))
@@ -155,6 +160,7 @@ def identify(docs: DataFrame, declared: str = "lang", host: str = "source", suff
         F.when(F.col("bare"), F.lit(0.0)).otherwise(F.round(probability, 6)).alias("probability"),
         (~F.col("bare") & (language != NONE) & (probability >= min_probability)).alias("kept"),
         "declared",
+        *own,
     )
 
 

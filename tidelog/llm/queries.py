@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelog.llm import decontam, langid, mixing, pii, quality, resharding, secrets, tokenfiles, toxicity
+from tidelog.llm import decontam, langid, mixing, ngram_join, pii, quality, resharding, secrets, tokenfiles, toxicity
 from tidelog.llm.shared import table
 
 #: The key of the pseudonyms in the query; a deployment passes its own secret.
@@ -37,6 +37,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mixing.plan(table(spark, sf_dir, "documents"))
     return planned.select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -64,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality_rules": op2_quality_rules,
         "op3_language_id": op3_language_id,
         "op4_token_files": op4_token_files,
+        "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
         "op6_mixing": op6_mixing,
         "op7_decontamination": op7_decontamination,
         "op8_pseudonyms": op8_pseudonyms,
