@@ -38,16 +38,19 @@ MARKUP = r"""(?i)<html[^>]*\slang\s*=\s*["']?([a-z]{2,3})"""
 HOST = r"^[a-z]+://([^/:?#]+)"
 
 
-def trigrams(data: np.ndarray) -> np.ndarray:
-    """Bucket of the trigram that starts at each byte; the last two end at the text's border."""
-    wide = np.concatenate([data, [0, 0]]).astype(np.uint32)
-    return ((wide[:-2] * 0x9E3779B1 + wide[1:-1] * 0x85EBCA6B + wide[2:] * 0xC2B2AE35) >> np.uint32(17)).astype(np.int64)
+def trigrams(texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the byte trigrams of each text between two blanks, and the n + 1 row offsets.
 
-
-def plain(texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes with ASCII letters in lower case and anything else below 0x80 as a blank."""
+    ASCII letters are in lower case, and anything else below 0x80 is a blank.  A text of n bytes
+    has n trigrams.
+    """
     data, offsets = raw(texts)
-    return _PLAIN[data], offsets
+    sizes = np.diff(offsets)
+    padded = np.full(len(data) + 2 * len(sizes), 0x20, np.uint32)
+    padded[np.arange(len(data)) + np.repeat(2 * np.arange(len(sizes)) + 1, sizes)] = _PLAIN[data]
+    at = np.arange(len(data)) + np.repeat(2 * np.arange(len(sizes)), sizes)
+    found = padded[at] * 0x9E3779B1 + padded[at + 1] * 0x85EBCA6B + padded[at + 2] * 0xC2B2AE35
+    return (found >> np.uint32(17)).astype(np.int64), offsets
 
 
 _PLAIN = np.array([c if c >= 0x80 else ord(chr(c).lower()) if chr(c).isalpha() else 0x20 for c in range(256)], np.uint8)
@@ -58,8 +61,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = strings(batch.column("text"))
         names = batch.column("declared").to_pylist()
         for low, high in slices(texts):
-            data, offsets = plain(texts.slice(low, high - low))
-            found = trigrams(data)
+            found, offsets = trigrams(texts.slice(low, high - low))
             for name in set(names[low:high]):
                 rows = [i for i in range(high - low) if names[low + i] == name]
                 tally = np.bincount(np.concatenate([found[offsets[i] : offsets[i + 1]] for i in rows]), minlength=BUCKETS)
@@ -94,8 +96,7 @@ def _likelihoods(table: np.ndarray):
             texts = strings(batch.column("text"))
             parts = []
             for low, high in slices(texts):
-                data, offsets = plain(texts.slice(low, high - low))
-                found = trigrams(data)
+                found, offsets = trigrams(texts.slice(low, high - low))
                 sums = np.zeros((high - low, len(table) + 1))
                 for k, row in enumerate(table):
                     total = np.concatenate([[0], np.cumsum(row[found], dtype=np.float64)])
