@@ -31,7 +31,7 @@ SEPARATOR = "~~~"
 
 
 def stitched(backfill: Codec, live: Codec) -> Codec:
-    """``backfill~~~live``; ordered by the live part, and by the backfill part where that is equal."""
+    """``backfill~~~live``; ordered by the backfill part, then by the live part."""
 
     def parse(text: str) -> tuple:
         parts = text.split(SEPARATOR)
