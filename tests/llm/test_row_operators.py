@@ -10,6 +10,7 @@ import public_tokenizers
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.llm.cases import empty, frame, rows, values
@@ -222,11 +223,19 @@ def test_flow_keeps_what_fits():
 
 def test_resharding_odd_rows(spark, tmp_path):
     df = frame(spark)
-    placed = resharding.assign(df, shards=3)
+    placed = resharding.assign(df, shards=3, carry=True)
     assert placed.count() == len(rows())
-    out = resharding.rewrite(df.where("doc_id is not null"), placed.where("doc_id is not null"), str(tmp_path / "shards"))
-    assert values(out, "doc_id", "text") == values(df.where("doc_id is not null"), "doc_id", "text")
-    assert resharding.assign(empty(spark)).count() == 0
+    out = resharding.rewrite(placed, str(tmp_path / "shards"))
+    assert values(out.select("row.*"), "doc_id", "text") == values(df, "doc_id", "text")
+    assert out.select("row.*").columns == df.columns
+    assert resharding.assign(empty(spark)).count() == resharding.reshard(empty(spark)).count() == 0
+
+
+def test_untouched_shards_keep_their_files(spark, tmp_path):
+    moves = spark.createDataFrame([(0, 0, 0), (1, 1, 0), (2, 1, 1), (2, 3, 0)], "old_shard int, shard int, slot long").withColumn("row", F.struct(F.lit("x").alias("text")))
+    assert resharding.untouched(moves) == [0]
+    resharding.rewrite(moves, str(tmp_path / "shards"), leave=[0])
+    assert sorted(p.name for p in (tmp_path / "shards").glob("shard=*")) == ["shard=1", "shard=3"]
 
 
 def test_odd_rows(spark):

@@ -20,7 +20,7 @@ import heapq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.shared import cut
+from tidelog.llm.shared import cut, fresh_folder
 
 
 def flow(units: list[tuple[int, int, int]], capacity: list[float]) -> dict[int, int]:
@@ -53,35 +53,43 @@ def flow(units: list[tuple[int, int, int]], capacity: list[float]) -> dict[int,
     return out
 
 
-def assign(docs: DataFrame, shards: int = 16, old_shards: int = 12, blocks: int = 8192, cells: int = 64) -> DataFrame:
+def _keyed(docs: DataFrame, blocks: int, cells: int, carry: bool) -> DataFrame:
+    """doc_id, size, crc32, block and cell of every row, and the row itself with ``carry``."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    block = F.pmod(F.xxhash64(text), F.lit(blocks)).cast("int")
+    cell = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(cells)).cast("int")
+    row = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else []
+    return docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).cast("long").alias("text_crc32"), block.alias("block"), cell.alias("cell"), *row)
+
+
+def assign(docs: DataFrame, shards: int = 16, old_shards: int = 12, blocks: int = 8192, cells: int = 64, carry: bool = False) -> DataFrame:
     """doc_id, size, text_crc32, old_shard, shard and slot of every row of ``docs`` (doc_id, text).
 
     The old layout has ``old_shards`` ranges of blocks; the new shards have equal capacities.
-    Slots count a shard's rows without gaps in the order of block, cell and doc_id.
+    Slots count a shard's rows without gaps in the order of block, cell and doc_id.  With
+    ``carry`` the whole row comes along as the struct ``row``.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).cast("long").alias("text_crc32"), F.pmod(F.xxhash64(text), F.lit(blocks)).cast("int").alias("block"))
-    rows = cut(rows.withColumn("cell", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(cells)).cast("int")), "shard-rows")
-    stats = cut(rows.groupBy("block", "cell").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")), "shard-cells")
+    stats = _keyed(docs, blocks, cells, False).groupBy("block", "cell").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
+    stats = cut(stats, "shard-cells")
     spark = docs.sparkSession
 
     totals = stats.groupBy("block").agg(F.sum("bytes").alias("bytes")).collect()  # at most ``blocks`` rows
     total = sum(r["bytes"] for r in totals)
     capacity = [total / shards] * shards
     limit = total / shards / 2
-    large = [r["block"] for r in totals if r["bytes"] > limit]  # at most 2 * shards
-    units = [(r["block"] * cells, r["block"] * old_shards // blocks, r["bytes"]) for r in totals if r["bytes"] <= limit]
+    large = {r["block"] for r in totals if r["bytes"] > limit}  # at most 2 * shards
+    units = [(r["block"] * cells, r["block"] * old_shards // blocks, r["bytes"]) for r in totals if r["block"] not in large]
     if large:
-        for r in stats.where(F.col("block").isin(large)).collect():
+        for r in stats.where(F.col("block").isin(*large)).collect():
             units.append((r["block"] * cells + r["cell"], r["block"] * old_shards // blocks, r["bytes"]))
     new = flow(units, capacity)
-    plan = spark.createDataFrame([(u // cells, u % cells if u // cells in set(large) else None, s) for u, s in new.items()], "block int, cell int, shard int")
+    plan = spark.createDataFrame([(u // cells, u % cells if u // cells in large else None, s) for u, s in new.items()], "block int, cell int, shard int")
     small = stats.join(plan.where("cell is null").drop("cell"), "block")
     split = stats.join(plan.where("cell is not null"), ["block", "cell"])
     before = Window.partitionBy("shard").orderBy("block", "cell").rowsBetween(Window.unboundedPreceding, -1)
     placed = small.unionByName(split).select("block", "cell", "shard", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("base"))
     rank = F.row_number().over(Window.partitionBy("block", "cell").orderBy("doc_id", "text_crc32", "size"))
-    ranked = rows.withColumn("rank", rank)
+    ranked = _keyed(docs, blocks, cells, carry).withColumn("rank", rank)
     return ranked.join(placed, ["block", "cell"]).select(
         "doc_id",
         "size",
@@ -91,21 +99,41 @@ def assign(docs: DataFrame, shards: int = 16, old_shards: int = 12, blocks: int
         (F.col("base") + F.col("rank") - 1).cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
         F.floor(F.col("block") * old_shards / blocks).cast("int").alias("old_shard"),
+        *(["row"] if carry else []),
     )
 
 
-def rewrite(docs: DataFrame, placed: DataFrame, folder: str, untouched: list[int] = ()) -> DataFrame:
-    """Write the rows of ``docs`` under ``folder``, a folder per shard, in the order of their slots.
+def untouched(placed: DataFrame) -> list[int]:
+    """Shards that nothing left or entered; at most one row per shard comes to the driver."""
+    moved = placed.select("old_shard", "shard", (F.col("old_shard") != F.col("shard")).alias("moved")).groupBy("old_shard", "shard", "moved").count().collect()
+    touched = {r[side] for r in moved if r["moved"] for side in ("old_shard", "shard")}
+    return sorted({r["shard"] for r in moved} - touched)
+
 
-    Shards in ``untouched`` (nothing moved in or out) are left as they are.  Columns of ``docs``
-    named text_crc32, shard or slot are replaced.  Returns the files' rows.
+def rewrite(placed: DataFrame, folder: str, leave: list[int] = ()) -> DataFrame:
+    """Writes the rows of an assignment with ``carry`` under ``folder``: a folder per shard, sorted by slot.
+
+    Shards in ``leave`` keep the files they have.  Returns shard, slot, old_shard and the row, as
+    read from the files.
     """
-    key = F.crc32(F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8"))
-    own = Window.partitionBy("doc_id", "text_crc32").orderBy("slot")
-    left = docs.drop("text_crc32", "shard", "slot").withColumn("text_crc32", key).withColumn("_copy", F.row_number().over(Window.partitionBy("doc_id", "text_crc32").orderBy(F.lit(0))))
-    right = placed.select("doc_id", "text_crc32", "shard", "slot").withColumn("_copy", F.row_number().over(own))
-    rows = left.join(right, ["doc_id", "text_crc32", "_copy"]).drop("_copy")
-    if untouched:
-        rows = rows.where(~F.col("shard").isin(list(untouched)))
-    rows.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").mode("append").parquet(folder)
-    return docs.sparkSession.read.parquet(folder)
+    affected = placed.where(~F.col("shard").isin(*leave)) if leave else placed
+    rows = affected.select("shard", "slot", "old_shard", "row").sortWithinPartitions("shard", "slot")
+    rows.write.partitionBy("shard").mode("append").parquet(folder)
+    return placed.sparkSession.read.schema(rows.schema).parquet(folder)
+
+
+def reshard(docs: DataFrame, shards: int = 16, **layout: int) -> DataFrame:
+    """Assigns, writes the new shards to the shared folder, and describes each row from its shard's files."""
+    placed = assign(docs.select("doc_id", "text"), shards, carry=True, **layout)
+    files = rewrite(placed, fresh_folder(docs.sparkSession, "shards"))
+    text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
+    return files.select(
+        "row.doc_id",
+        (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(F.encode(text, "UTF-8")).cast("long").alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+        "old_shard",
+    )
