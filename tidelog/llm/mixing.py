@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelog.llm.shared import cut
+from tidelog.llm.shared import cut, small_batches
 from tidelog.llm.textbytes import word_counts
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -64,33 +64,37 @@ def targets(totals: DataFrame, share: float = 1.5, most: float = 2.0, weights: t
     return limits.select("source", "source_size", target.alias("target"))
 
 
-def draw(seed: int) -> Column:
-    """A number from 0 to 1 by the document's id, its text and the seed."""
-    return F.pmod(F.xxhash64("doc_id", "text_key", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+def bucket(seed: int) -> Column:
+    """Twelve bits of a hash of the document's id, its text and the seed."""
+    key = F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text_key", F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(key), 1, 3), 16, 10).cast("int")
+
+
+def text_key() -> Column:
+    return F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
 def plan(docs: DataFrame, seed: int = 42, share: float = 1.5, most: float = 2.0) -> DataFrame:
     """doc_id, size, source, source_size, target, rate, copies and taken of every row of ``docs``."""
-    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("text_key"), "text")
-    sized = cut(rows.mapInArrow(_sizes, "doc_id long, source string, text_key long, size long"), "mixing-sizes")
-    sized = sized.withColumn("draw", draw(seed))
-    bucket = F.floor(F.col("draw") * BUCKETS).cast("int")
-    histogram = sized.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("size"))
-    histogram = cut(histogram, "mixing-histogram")  # at most BUCKETS rows per source
+    small_batches(docs.sparkSession)
+    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), text_key().alias("text_key"), "text")
+    sized = cut(rows.mapInArrow(_sizes, "doc_id long, source string, text_key string, size long").withColumn("bucket", bucket(seed)), "mixing-sizes")
+    histogram = cut(sized.groupBy("source", "bucket").agg(F.sum("size").alias("size")), "mixing-histogram")  # at most BUCKETS rows per source
     totals = histogram.groupBy("source").agg(F.sum("size").alias("source_size"))
     aims = targets(totals, share, most)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     aims = aims.withColumn("rate", rate).withColumn("fraction", F.col("rate") - F.floor("rate"))
     same = F.col("a.source").eqNullSafe(F.col("b.source"))
+    wish = (F.col("fraction") * F.col("source_size")).alias("wish")
     running = F.sum("b.size").over(Window.partitionBy("b.source").orderBy("b.bucket"))
-    borders = histogram.alias("b").join(aims.alias("a"), same).select("a.source", "b.bucket", running.alias("words"), (F.col("a.fraction") * F.col("a.source_size")).alias("wish"), "a.fraction")
-    none = aims.select("source", F.lit(-1).alias("bucket"), F.lit(0).alias("words"), (F.col("fraction") * F.col("source_size")).alias("wish"), "fraction")
-    border = F.min_by("bucket", F.struct(F.abs(F.col("words") - F.col("wish")), F.abs((F.col("bucket") + 1) / float(BUCKETS) - F.col("fraction"))))
-    borders = borders.unionByName(none).groupBy("source").agg(border.alias("border"))
+    borders = histogram.alias("b").join(aims.alias("a"), same).select("a.source", "b.bucket", running.alias("words"), wish, "a.fraction")
+    none = aims.select("source", F.lit(-1).alias("bucket"), F.lit(0).alias("words"), wish, "fraction")
+    distance = F.struct(F.abs(F.col("words") - F.col("wish")), F.abs((F.col("bucket") + 1) / float(BUCKETS) - F.col("fraction")), "bucket")
+    borders = borders.unionByName(none).groupBy("source").agg(F.min_by("bucket", distance).alias("border"))
     aims = aims.join(borders.withColumnRenamed("source", "border_source"), F.col("source").eqNullSafe(F.col("border_source"))).drop("border_source")
-    aims = aims.withColumnRenamed("source", "aim_source")
+    aims = cut(aims.withColumnRenamed("source", "aim_source"), "mixing-targets")  # a row per source
     out = sized.join(aims, F.col("source").eqNullSafe(F.col("aim_source")), "left")
-    copies = (F.floor("rate") + F.when(bucket <= F.col("border"), 1).otherwise(0)).cast("long")
+    copies = (F.floor("rate") + F.when(F.col("bucket") <= F.col("border"), 1).otherwise(0)).cast("long")
     copies = F.least(copies, F.lit(int(most)))
     return out.select("doc_id", "text_key", "source", "size", "source_size", F.col("target").cast("double"), "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
@@ -99,7 +103,7 @@ def mix(docs: DataFrame, seed: int = 42, share: float = 1.5, most: float = 2.0)
     """The mixed corpus: each row of ``docs`` as often as planned, with the columns of ``docs``."""
     planned = plan(docs, seed, share, most).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "source", F.col("copies").alias("_copies"))
     planned = planned.withColumnRenamed("source", "_source").distinct()
-    rows = docs.withColumn("_own", F.xxhash64("text"))
+    rows = docs.withColumn("_own", text_key())
     same = (F.col("doc_id").eqNullSafe(F.col("_id"))) & (F.col("_own") == F.col("_key")) & F.col("source").cast("string").eqNullSafe(F.col("_source"))
     joined = rows.join(planned, same)
     return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest("_copies", F.lit(1))))).where("_copies > 0").select(docs.columns)

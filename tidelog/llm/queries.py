@@ -55,7 +55,7 @@ def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resharding.assign(table(spark, sf_dir, "documents"))
+    return resharding.reshard(table(spark, sf_dir, "documents"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,5 +78,59 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+_QUALITY = rf"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, {_WORDS} AS ws FROM documents),
+w AS (SELECT doc_id, i, array_to_string(ws[i:i+4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM d)),
+again AS (SELECT doc_id, i FROM w QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+marked AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS j FROM again) GROUP BY doc_id),
+texts AS (SELECT DISTINCT source, text FROM d),
+hosts AS (SELECT source, count(*) AS n FROM texts GROUP BY source),
+raw AS (SELECT source, text, unnest(string_split(text, chr(10))) AS line FROM texts),
+lines AS (SELECT source, text, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS line,
+          len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n FROM raw),
+full_lines AS (SELECT source, text, line, sum(n) AS n FROM lines WHERE n > 0 GROUP BY ALL),
+common AS (SELECT source, line FROM full_lines JOIN hosts USING (source) GROUP BY source, line, hosts.n HAVING count(*) > 20 AND count(*) > 0.02 * hosts.n),
+lost AS (SELECT source, text, sum(n) AS n, count(*) AS k FROM full_lines JOIN common USING (source, line) GROUP BY source, text),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+m AS (SELECT d.doc_id, len(ws) AS n_words, list_sum(list_transform(ws, lambda x: length(x))) AS word_chars,
+      length(d.text) - length(regexp_replace(d.text, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(marked.n, 0) AS n_repeat_words,
+      coalesce(lost.n, 0) AS gone, coalesce(lost.k, 0) AS gone_lines
+      FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN marked USING (doc_id) LEFT JOIN lost ON lost.source = d.source AND lost.text = d.text)
+SELECT doc_id, cast(n_words AS bigint) AS n_words, cast(coalesce(word_chars, 0) AS bigint) AS word_chars, cast(n_symbols AS bigint) AS n_symbols, cast(n_dup_lines AS bigint) AS n_dup_lines,
+ cast(n_repeat_words AS bigint) AS n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+ NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT (gone > 0.5 * n_words OR n_words - gone < 10) AS kept,
+ cast(gone AS bigint) AS n_removed_words, cast(gone_lines AS bigint) AS n_removed_lines FROM m"""
+
+_JACCARD = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' '))) END AS sh FROM d),
+n AS (SELECT doc_id, len(sh) AS n FROM s),
+e AS (SELECT doc_id, unnest(sh) AS x FROM s),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= 75 * (na.n + nb.n - k)),
+both_ways AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS reach FROM n UNION SELECT r.doc_id, both_ways.b FROM r JOIN both_ways ON r.reach = both_ways.a)
+SELECT doc_id, cast(n AS bigint) AS n_shingles, min(reach) AS component_id FROM r JOIN n USING (doc_id) GROUP BY doc_id, n"""
+
+_MIXING = rf"""
+WITH d AS (SELECT doc_id, source, len({_WORDS}) AS size, cast('0x' || substr(md5(doc_id || '/' || md5(coalesce(text, '')) || '/42'), 1, 3) AS integer) AS bucket FROM documents),
+t AS (SELECT source, sum(size) AS source_size, [5.0::double, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM d GROUP BY source),
+u AS (SELECT *, 2.0::double * source_size AS cap FROM t),
+v AS (SELECT *, (1.5::double * sum(source_size) OVER () - coalesce(sum(cap) OVER q, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER q, 0)) AS level FROM u
+      WINDOW q AS (ORDER BY cap / weight, weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+x AS (SELECT *, (SELECT arg_min(level, cap / weight) FROM v WHERE cap / weight >= level) AS common FROM v),
+a AS (SELECT source, source_size, CASE WHEN cap / weight < level THEN cap ELSE least(cap, weight * common) END AS target FROM x),
+f AS (SELECT *, target / source_size AS rate, target / source_size - floor(target / source_size) AS fraction FROM a),
+h AS (SELECT source, bucket, sum(sum(size)) OVER (PARTITION BY source ORDER BY bucket) AS words FROM d GROUP BY source, bucket),
+b AS (SELECT source, arg_min(bucket, row(abs(words - fraction * source_size), abs((bucket + 1) / 4096.0::double - fraction), bucket)) AS border
+      FROM (SELECT * FROM h UNION ALL SELECT source, -1, 0 FROM f) JOIN f USING (source) GROUP BY source)
+SELECT doc_id, cast(size AS bigint) AS size, cast(source_size AS bigint) AS source_size, target,
+ cast(size * least(floor(rate) + cast(bucket <= border AS integer), 2) AS bigint) AS taken, cast(least(floor(rate) + cast(bucket <= border AS integer), 2) AS bigint) AS copies
+FROM d JOIN f USING (source) JOIN b USING (source)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for DuckDB, where SQL can express the operator."""
+    return {"op2_quality_rules": _QUALITY, "op5_ngram_jaccard_join": _JACCARD, "op6_mixing": _MIXING}
