@@ -69,8 +69,9 @@ def test_families_of_edits(spark, seed):
     assert result(ngram_join.join(df)) == plain(texts)
 
 
-def test_lists_above_the_hub_limit(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "HUB_ROUNDS", 1)
+@pytest.mark.parametrize("parts", [(1,), (32, 1), (2, 4, 1)])
+def test_dense_families(spark, monkeypatch, parts):
+    monkeypatch.setattr(ngram_join, "PARTS", parts)
     rng = random.Random(5)
     base = [f"w{i}" for i in range(60)]
     texts = {i: " ".join(w if rng.random() > 0.03 else f"e{rng.randrange(5000)}" for w in base) for i in range(150)}

@@ -1,4 +1,4 @@
-"""Connected components of a table of edges, by label propagation with pointer jumping."""
+"""Connected components of a table of edges, by hooking and pointer jumping."""
 
 from __future__ import annotations
 
@@ -11,17 +11,21 @@ from tidelog.llm.shared import cut
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of ``edges`` (a, b): the smallest node that it is connected to.
 
-    Each round takes the smallest label among the neighbours and then the label of that label, so
-    rounds grow with the logarithm of a component's diameter rather than with the diameter.
-    Rounds start from written tables.
+    A round gives each node the smallest label of its neighbours, lets all nodes of one label
+    follow the best of them, and then takes the label of that label.  Whole trees move at once,
+    so the rounds grow with the logarithm of a component's size.  Each round starts from a
+    written table, of no more partitions than there are cores.
     """
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "component-edges")
-    labels = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"), "component-labels")
+    cores = edges.sparkSession.sparkContext.defaultParallelism
+    keep = lambda df, name: cut(df.coalesce(cores), name)
+    both = keep(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "component-edges")
+    labels = keep(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "node"), "component-labels")
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near")).withColumnRenamed("a", "node")
-        lower = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        new = cut(lower.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("next", "label")).alias("label")), "component-labels")
+        lower = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("near"))
+        hooks = lower.groupBy("old").agg(F.min("near").alias("hook"))
+        roots = hooks.join(labels.select(F.col("node").alias("hook"), F.col("label").alias("next")), "hook").select("old", F.least("hook", "next").alias("root"))
+        new = keep(lower.join(roots, "old").select("node", "old", F.least("near", "root").alias("label")), "component-labels")
         labels = new.select("node", "label")
         if new.where("old <> label").isEmpty():
             return labels

@@ -15,9 +15,10 @@ Steps, each a Spark job on the shuffled result of the one before:
 4. Sets with the same prefix and size form a group.  Groups meet by shingle; pairs of groups are
    filtered by size and by position in the prefix, then expanded to their members and verified.
 
-Only connections matter, so groups of a shingle are first compared with a few hubs, which
-connects dense groups without listing their pairs; then all pairs of groups that are still in
-different components are compared, however many remain.  No bucket is capped.
+Only connections matter, so the groups of a shingle are first compared with one hub, then one
+in 32 of the pairs that are still in different components, and then all pairs that still are,
+however many remain.  A dense family is thus connected without listing its pairs, and no bucket
+is capped.
 
 A set's identity is a 64-bit hash of its shingles' hashes; equality of shingles is that of hashes.
 
@@ -42,10 +43,11 @@ from tidelog.llm.textbytes import Words, mix, slices, strings
 
 WIDTH = 5
 PERCENT = 75
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 BLOCK_ROWS = 1 << 16
-RANGE_TOKENS = 2 << 20
-HUB_ROUNDS = 6
+RANGE_TOKENS = 1 << 20
+PARTS = (32, 1)
+SKETCH_WORDS = 8
 
 
 def shingle_sets(texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -126,7 +128,7 @@ def _block(texts: pa.LargeStringArray, block: int, bits: int) -> pa.RecordBatch
     )
 
 
-SHARED = "bucket int, docs binary, tokens binary, frequency binary, block long, sets binary, sizes binary, distinct binary"
+SHARED = "bucket int, part int, blocks binary, places binary, numbers binary, tokens binary, frequency binary, block long, sets binary, sizes binary, distinct binary"
 
 
 def _frequencies(buckets: int):
@@ -136,32 +138,41 @@ def _frequencies(buckets: int):
         blocks = table["block"].to_numpy()
         tokens = [np.frombuffer(x, np.uint32) for x in table["tokens"].to_pylist()]
         numbers = [np.frombuffer(x, np.uint16) for x in table["numbers"].to_pylist()]
-        docs = np.concatenate([(int(b) << 16) + n.astype(np.int64) for b, n in zip(blocks, numbers)])
-        token = np.concatenate(tokens)
+        place = np.repeat(np.arange(len(blocks)), [len(n) for n in numbers])
+        token, number = np.concatenate(tokens), np.concatenate(numbers)
         order = np.argsort(token, kind="stable")
-        token, docs = token[order], docs[order]
+        token = token[order]
         starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         lengths = np.diff(np.append(starts, len(token)))
         frequency = np.repeat(lengths, lengths)
         shared = frequency > 1
-        token, docs, frequency = token[shared], docs[shared], frequency[shared].astype(np.uint32)
-        token = (np.uint64(key[0].as_py()) << np.uint64(32)) | token.astype(np.uint64)
-        bucket = (docs >> 16) % buckets
+        token, order, frequency = token[shared], order[shared], np.minimum(frequency[shared], 0xFFFF).astype(np.uint16)
+        place, number = place[order], number[order]
+        bucket = blocks[place] % buckets
         order = np.argsort(bucket, kind="stable")
-        token, docs, frequency, bucket = token[order], docs[order], frequency[order], bucket[order]
+        token, place, number, frequency, bucket = token[order], place[order], number[order], frequency[order], bucket[order]
         found, starts = np.unique(bucket, return_index=True)
-        ends = np.append(starts[1:], len(bucket))
-        rows = [(int(k), docs[a:b].tobytes(), token[a:b].tobytes(), frequency[a:b].tobytes(), None, None, None, None) for k, a, b in zip(found, starts, ends)]
+        rows = []
+        for k, a, b in zip(found, starts, np.append(starts[1:], len(bucket))):
+            own, places = np.unique(place[a:b], return_inverse=True)
+            rows.append((int(k), key[0].as_py(), blocks[own].tobytes(), places.astype(np.uint32 if len(own) >> 16 else np.uint16).tobytes(), number[a:b].tobytes(), token[a:b].tobytes(), frequency[a:b].tobytes(), None, None, None, None))
         for b, *described in zip(blocks, *(table[c].to_pylist() for c in ("sets", "sizes", "distinct"))):
             if described[0] is not None:
-                rows.append((int(b) % buckets, None, None, None, int(b), *described))
-        kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 8, kinds)], names=[x.split()[0] for x in SHARED.split(", ")])
+                rows.append((int(b) % buckets, None, None, None, None, None, None, int(b), *described))
+        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5, pa.int64(), *[pa.binary()] * 3]
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], names=[x.split()[0] for x in SHARED.split(", ")])
 
     return run
 
 
-PREFIXES = "sid long, n int, skipped int, gkey long, prefix array<long>, shared binary"
+PREFIXES = "sid long, n int, skipped int, gkey long, prefix array<long>, shared binary, sketch array<long>"
+
+
+def _sketch(shared: np.ndarray) -> list[int]:
+    """A bitmap of hashed shingles; bits that differ bound the symmetric difference from below."""
+    bits = np.zeros(64 * SKETCH_WORDS, bool)
+    bits[(mix(shared) % np.uint64(len(bits))).astype(np.int64)] = True
+    return np.packbits(bits).view(np.int64).tolist()
 
 
 def _prefixes(percent: int):
@@ -173,12 +184,19 @@ def _prefixes(percent: int):
         for r in rows:
             if r["block"] is not None:
                 describe[r["block"]] = tuple(np.frombuffer(r[c], t) for c, t in (("sets", np.int64), ("sizes", np.int32), ("distinct", np.int32)))
-        join = lambda c, t: np.concatenate([np.zeros(0, t), *(np.frombuffer(r[c], t) for r in rows if r["docs"] is not None)])
-        docs, token, frequency = join("docs", np.int64), join("tokens", np.uint64), join("frequency", np.uint32)
+        docs, token, frequency = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint16)]
+        for r in rows:
+            if r["block"] is None:
+                blocks, tokens = np.frombuffer(r["blocks"], np.int64), np.frombuffer(r["tokens"], np.uint32)
+                places = np.frombuffer(r["places"], np.uint32 if len(blocks) >> 16 else np.uint16)
+                docs.append((blocks[places] << 16) + np.frombuffer(r["numbers"], np.uint16))
+                token.append((np.uint64(r["part"]) << np.uint64(32)) | tokens.astype(np.uint64))
+                frequency.append(np.frombuffer(r["frequency"], np.uint16))
+        docs, token, frequency = np.concatenate(docs), np.concatenate(token), np.concatenate(frequency)
         order = np.lexsort((token, frequency, docs))
         docs, token = docs[order], token[order]
         starts = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]])) if len(docs) else np.zeros(0, np.int64)
-        out: list[list] = [[] for _ in range(6)]
+        out: list[list] = [[] for _ in range(7)]
         for a, b in zip(starts.tolist(), np.append(starts[1:], len(docs)).tolist()):
             sets, sizes, distinct = describe[int(docs[a]) >> 16]
             i = int(docs[a]) & 0xFFFF
@@ -189,9 +207,10 @@ def _prefixes(percent: int):
                 prefix = token[a : min(a + take, b)]
                 with np.errstate(over="ignore"):
                     gkey = mix(np.cumsum(mix(prefix + np.arange(len(prefix), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)), dtype=np.uint64)[-1:])
-                for column, x in zip(out, (int(sets[i]), n, skipped, int(gkey.view(np.int64)[0]), prefix.astype(np.int64).tolist(), np.sort(token[a:b]).tobytes())):
+                shared = np.sort(token[a:b])
+                for column, x in zip(out, (int(sets[i]), n, skipped, int(gkey.view(np.int64)[0]), prefix.astype(np.int64).tolist(), shared.tobytes(), _sketch(shared))):
                     column.append(x)
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64())]
         return pa.table([pa.array(c, k) for c, k in zip(out, kinds)], names=[x.split()[0] for x in PREFIXES.split(", ")])
 
     return run
@@ -218,73 +237,103 @@ def prefixes(docs: DataFrame, tokens: int, percent: int = PERCENT) -> DataFrame:
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bits = min(16, max(4, int(max(2 * partitions, tokens // RANGE_TOKENS) - 1).bit_length()))
-    buckets = max(8, (1 << bits) // 4)
+    buckets = max(8, (1 << bits) // 2)
     packed = docs.select("text").mapInArrow(_blocks(bits), "block long, part int, tokens binary, numbers binary, sets binary, sizes binary, distinct binary")
     shared = packed.groupBy("part").applyInArrow(_frequencies(buckets), SHARED)
     found = shared.groupBy("bucket").applyInArrow(_prefixes(percent), PREFIXES)
     # Copies in different blocks have the same prefix and shared shingles.
-    return found.groupBy("sid", "n", "skipped", "gkey").agg(F.first("prefix").alias("prefix"), F.first("shared").alias("shared"))
+    found = found.groupBy("sid", "n", "skipped", "gkey").agg(F.first("prefix").alias("prefix"), F.first("shared").alias("shared"), F.first("sketch").alias("sketch"))
+    return found.withColumn("m", (F.length("shared") / 8).cast("int"))
 
 
 def links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of sets that link."""
-    left = sets.select(F.col("sid").alias("a"), "n", F.col("shared").alias("x"))
-    right = sets.select(F.col("sid").alias("b"), F.col("n").alias("m"), F.col("shared").alias("y"))
-    both = pairs.join(left, "a").join(right, "b").where(100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
-    return both.select("a", "b", "n", "m", "x", "y").mapInArrow(_verify(percent), "a long, b long")
+    both = pairs.join(sets.alias("l"), F.col("a") == F.col("l.sid")).join(sets.alias("r"), F.col("b") == F.col("r.sid"))
+    both = both.where((100 * F.least("l.n", "r.n") >= percent * F.greatest("l.n", "r.n")) & _alike(percent))
+    return both.select("a", "b", F.col("l.n").alias("n"), F.col("r.n").alias("m"), F.col("l.shared").alias("x"), F.col("r.shared").alias("y")).mapInArrow(_verify(percent), "a long, b long")
+
 
+def _need(percent: int) -> Column:
+    """The least common shingles of two linked sets."""
+    return F.ceil((F.col("l.n") + F.col("r.n")) * percent / (100.0 + percent))
 
-def _close(percent: int):
+
+def _alike(percent: int) -> Column:
+    """Whether the sketches leave enough common shingles; unknown (null) for groups of several sets."""
+    differ = sum((F.bit_count(F.col("l.sketch")[k].bitwiseXOR(F.col("r.sketch")[k])) for k in range(SKETCH_WORDS)), F.lit(0))
+    held = F.col("l.m") + F.col("r.m")
+    return F.coalesce(held - differ >= 2 * _need(percent), F.lit(True))
+
+
+def _close(percent: int) -> Column:
     """Two postings of a shingle whose sets may link, if this is the first shingle that they share."""
-    need = F.ceil((F.col("l.n") + F.col("r.n")) * percent / (100.0 + percent))
+    need = _need(percent)
     rest = 1 + F.least(F.col("l.n") - F.col("l.pos") - 1, F.col("r.n") - F.col("r.pos") - 1)
     return (100 * F.least("l.n", "r.n") >= percent * F.greatest("l.n", "r.n")) & (rest >= need)
 
 
+def _hub_pairs(state: DataFrame, percent: int) -> DataFrame:
+    """Each group with the first group, by a hash, of every list that it is in."""
+    hubs = state.groupBy("token").agg(F.min(F.struct(F.xxhash64("gid"), "gid", "n")).alias("h")).select("token", "h.*")
+    sized = 100 * F.least("l.n", "r.n") >= percent * F.greatest("l.n", "r.n")
+    pairs = state.alias("l").join(hubs.alias("r"), (F.col("l.token") == F.col("r.token")) & (F.col("l.gid") != F.col("r.gid")) & sized)
+    return pairs.select(F.col("l.gid").alias("p"), F.col("r.gid").alias("q")).distinct()
+
+
+def _apart_pairs(state: DataFrame, percent: int, part: int) -> DataFrame:
+    """One in ``part`` (by a hash) of the pairs of groups in different components that may link.
+
+    A pair is made at the first shingle that its prefixes share, if sizes, positions and sketches
+    leave enough common shingles.
+    """
+    different = F.col("l.label").isNull() | F.col("r.label").isNull() | (F.col("l.label") != F.col("r.label"))
+    chosen = F.lit(True) if part == 1 else F.pmod(F.xxhash64("l.gid", "r.gid"), F.lit(part)) == 0
+    first = ~F.arrays_overlap("l.before", "r.before")
+    same = (F.col("l.token") == F.col("r.token")) & (F.col("l.gid") < F.col("r.gid"))
+    pairs = state.alias("l").join(state.alias("r"), same & different & chosen & _close(percent) & _alike(percent) & first)
+    return pairs.select(F.col("l.gid").alias("p"), F.col("r.gid").alias("q"))
+
+
 def set_components(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(node, label) of the sets of :func:`prefixes` that link with another one."""
-    groups = sets.groupBy("gkey", "n").agg(F.min("sid").alias("gid"), F.first("prefix").alias("prefix"), F.first("skipped").alias("skipped"))
+    alone = F.when(F.count("*") == 1, F.first("sketch"))  # sets of one group differ behind the prefix
+    groups = sets.groupBy("gkey", "n").agg(F.min("sid").alias("gid"), *(F.first(c).alias(c) for c in ("prefix", "skipped", "m")), alone.alias("sketch"))
+    groups = cut(groups, "ngram-groups")
     members = cut(sets.select("sid", "gkey", "n").join(groups.select("gkey", "n", "gid"), ["gkey", "n"]).select("gid", "sid"), "ngram-members")
     postings = groups.select("gid", "n", "skipped", F.posexplode("prefix").alias("pos", "token"))
     postings = postings.select("token", "gid", "n", (F.col("pos") + F.col("skipped")).alias("pos"))
     lists = postings.groupBy("token").agg(F.count("*").alias("size")).where("size > 1").select("token")
-    postings = cut(postings.join(lists, "token"), "ngram-postings")
-
-    edges = links(members.where("gid <> sid").select(F.col("gid").alias("a"), F.col("sid").alias("b")), sets, percent)
-    known = None
-    state = postings.withColumn("label", F.col("gid"))
-    for round_ in range(HUB_ROUNDS):
-        hub = F.min(F.struct(F.xxhash64("gid", F.lit(round_)), "gid", "n", "label"))
-        hubs = state.groupBy("token").agg(hub.alias("h")).select("token", F.col("h.gid").alias("a"), F.col("h.n").alias("hub_n"), F.col("h.label").alias("hub_label"))
-        near = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
-        pairs = state.join(hubs, "token").where((F.col("label").isNull() | F.col("hub_label").isNull() | (F.col("label") != F.col("hub_label"))) & (F.col("gid") != F.col("a")) & near)
-        found = links(pairs.select("a", F.col("gid").alias("b")).distinct(), sets, percent)
-        if round_ == 0:
-            found = found.unionByName(edges)
-        found = cut(found, "ngram-links")
+    state = postings = cut(postings.join(lists, "token"), "ngram-postings")
+    details = groups.select("gid", "m", "sketch", "prefix", "skipped")
+
+    known = labels = None
+    for part in (0, *PARTS):
+        if part == 0:
+            inner = members.where("gid <> sid").select(F.col("gid").alias("a"), F.col("sid").alias("b"))
+            pairs = _hub_pairs(state, percent).select(F.col("p").alias("a"), F.col("q").alias("b")).unionByName(inner)
+        else:
+            labelled = members.join(labels, members["sid"] == labels["node"], "left").select("gid", "sid", F.coalesce("label", "sid").alias("label"))
+            in_group = labelled.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+            in_group = cut(in_group.select("gid", F.when(F.col("low") == F.col("high"), F.col("low")).alias("label")), "ngram-group-labels")
+            state = postings.join(in_group, "gid")
+            mixed = F.max(F.col("label").isNull().cast("int")).alias("mixed")
+            open_lists = state.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), mixed, F.count("*").alias("size"))
+            open_lists = open_lists.where("low <> high or mixed = 1")
+            if part > 1 and not (open_lists.where(F.col("size") > 2 * part).limit(1).count()):
+                continue  # short lists only: all pairs at once
+            state = state.join(open_lists.select("token"), "token").join(details, "gid")
+            state = state.withColumn("before", F.slice("prefix", 1, F.col("pos") - F.col("skipped"))).drop("prefix", "skipped")
+            state = cut(state, "ngram-open")
+            mixed_groups = in_group.where("label is null").select(F.col("gid").alias("p"), F.col("gid").alias("q"))
+            left = labelled.select(F.col("gid").alias("p"), F.col("sid").alias("a"), F.col("label").alias("la"))
+            right = labelled.select(F.col("gid").alias("q"), F.col("sid").alias("b"), F.col("label").alias("lb"))
+            pairs = _apart_pairs(state, percent, part).unionByName(mixed_groups).join(left, "p").join(right, "q").where("la <> lb and (p <> q or a < b)").select("a", "b")
+        found = cut(links(pairs, sets, percent), "ngram-links")
+        if part and found.isEmpty():
+            continue
         known = found if known is None else known.unionByName(found)
         labels = components(known)
-        group_label = members.join(labels, members["sid"] == labels["node"], "left").groupBy("gid").agg(F.min(F.coalesce("label", "sid")).alias("low"), F.max(F.coalesce("label", "sid")).alias("high"))
-        group_label = group_label.select("gid", F.when(F.col("low") == F.col("high"), F.col("low")).alias("label"))
-        state = postings.join(group_label, "gid")
-        by_label = state.groupBy("token", "label").agg(F.count("*").alias("n")).groupBy("token").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("label").isNotNull(), F.col("n") * F.col("n")).otherwise(0)).alias("same"))
-        open_lists = by_label.where("n * n > same")
-        state = cut(state.join(open_lists.select("token"), "token"), "ngram-open")
-        load = open_lists.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2).alias("pairs"), F.sum("n").alias("rows")).first()
-        if not load["pairs"] or load["pairs"] <= 20 * load["rows"]:
-            break
-
-    different = F.col("l.label").isNull() | F.col("r.label").isNull() | (F.col("l.label") != F.col("r.label"))
-    pairs = state.alias("l").join(state.alias("r"), (F.col("l.token") == F.col("r.token")) & (F.col("l.gid") < F.col("r.gid")) & different & _close(percent))
-    pairs = pairs.select(F.col("l.gid").alias("p"), F.col("r.gid").alias("q")).distinct()
-    labelled = members.join(labels, members["sid"] == labels["node"], "left").select("gid", "sid", F.coalesce("label", "sid").alias("label"))
-    mixed = group_label.where("label is null").select(F.col("gid").alias("p"), F.col("gid").alias("q"))
-    left, right = labelled.select(F.col("gid").alias("p"), F.col("sid").alias("a"), F.col("label").alias("la")), labelled.select(F.col("gid").alias("q"), F.col("sid").alias("b"), F.col("label").alias("lb"))
-    rest = pairs.unionByName(mixed).join(left, "p").join(right, "q").where("la <> lb and (p <> q or a < b)").select("a", "b")
-    late = cut(links(rest, sets, percent), "ngram-links")
-    if late.isEmpty():
-        return labels
-    return components(known.unionByName(late))
+    return labels
 
 
 def row_keys() -> list[Column]:
