@@ -354,7 +354,7 @@ def memberships(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     labels = set_components(sets, percent)
     smallest = own.where("n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("set_min"))
     placed = smallest.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "set_min", F.coalesce("label", "sid").alias("label"))
-    best = placed.groupBy("label").agg(F.min("set_min").alias("component_id"))
+    best = cut(placed.groupBy("label").agg(F.min("set_min").alias("component_id")), "ngram-smallest")
     placed = cut(placed.join(best, "label").select(F.col("sid").alias("own_sid"), "label", "component_id"), "ngram-components")
     out = own.join(placed, (F.col("sid") == F.col("own_sid")) & (F.col("n_shingles") > 0), "left").drop("own_sid")
     return out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))

@@ -23,6 +23,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tidelog.llm import memory  # noqa: F401  for its effect on workers
+
 KINDS = ("email", "iban", "card", "ip", "phone", "ssn", "date")
 ROUNDS = 10
 FIRST_DAY, LAST_DAY = dt.date(1900, 1, 1), dt.date(2099, 12, 31)

@@ -15,7 +15,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+from tidelog.llm import memory  # noqa: F401  for its effect on workers
+
+SLICE_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -160,8 +162,14 @@ class Words:
                 starts[cut] += 1
             nothing = _PUNCTUATION[self.data[starts]]
             starts[nothing], ends[nothing] = self.starts[nothing], whole[nothing]
+        out = self.cut(starts, ends)
+        out.__dict__["first"] = self.first
+        return out
+
+    def cut(self, starts: np.ndarray, ends: np.ndarray) -> Words:
+        """Other pieces of the same bytes, in place of the words."""
         out = Words(self.data, self.offsets)
-        out.__dict__ |= {"space": self.space, "starts": starts, "ends": ends, "first": self.first}
+        out.__dict__ |= {"space": self.space, "starts": starts, "ends": ends}
         return out
 
     def text(self, k: int) -> str:

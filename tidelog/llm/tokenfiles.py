@@ -42,7 +42,8 @@ BATCH_SEQUENCES = 256
 class Encoder:
     """Ids of texts by a ``tokenizers`` file whose pre-tokenizer never joins across white space.
 
-    Distinct words are encoded once and kept; a text is the concatenation of its words' ids.
+    Distinct words are encoded once; a text is the concatenation of its words' ids.  Known words
+    are kept as arrays: the 64-bit hash of the word, in order, and where its ids lie.
     """
 
     def __init__(self, path: str):
@@ -54,64 +55,68 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.ids = np.zeros(1 << 20, self.dtype)
-        self.bounds = np.zeros(CACHE_WORDS + 2, np.int64)
-
-    def _learn(self, words: list[bytes]) -> None:
-        fresh = [w for w in words if w not in self.known]
-        if len(self.known) + len(fresh) > CACHE_WORDS:
-            self._forget()
-            fresh = words
-        if len(self.bounds) < len(fresh) + 2:
-            self.bounds = np.zeros(len(fresh) + 2, np.int64)
-        for low in range(0, len(fresh), 4096):
-            part = fresh[low : low + 4096]
-            coded = [e.ids for e in self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)]
-            at = len(self.known)
-            ends = self.bounds[at] + np.cumsum([len(x) for x in coded])
-            while ends[-1] > len(self.ids):
+        self.known, self.start, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.ids, self.used = np.zeros(1 << 20, self.dtype), 0
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        """Adds words; ``hashes`` are in order and new."""
+        start, size = [], []
+        for low in range(0, len(words), 4096):
+            coded = [e.ids for e in self.tokenizer.encode_batch(words[low : low + 4096], add_special_tokens=False)]
+            sizes = np.fromiter(map(len, coded), np.int32, len(coded))
+            total = int(sizes.sum())
+            while self.used + total > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            self.ids[self.bounds[at] : ends[-1]] = np.fromiter((i for x in coded for i in x), self.dtype, ends[-1] - self.bounds[at])
-            self.bounds[at + 1 : at + 1 + len(part)] = ends
-            self.known.update(zip(part, range(at, at + len(part))))
+            self.ids[self.used : self.used + total] = np.fromiter((i for x in coded for i in x), self.dtype, total)
+            start.append(self.used + np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+            size.append(sizes)
+            self.used += total
+        at = np.searchsorted(self.known, hashes)
+        self.known = np.insert(self.known, at, hashes)
+        self.start = np.insert(self.start, at, np.concatenate(start))
+        self.size = np.insert(self.size, at, np.concatenate(size))
+
+    def _places(self, pieces: Words) -> np.ndarray:
+        """The index of each piece among the known words, all of which are known afterwards."""
+        distinct, first, inverse = np.unique(pieces.hashes, return_index=True, return_inverse=True)
+        fresh = np.ones(len(distinct), bool)
+        if len(self.known):
+            fresh = self.known[np.minimum(np.searchsorted(self.known, distinct), len(self.known) - 1)] != distinct
+        if fresh.any():
+            if len(self.known) + fresh.sum() > CACHE_WORDS:
+                self._forget()
+                fresh[:] = True
+            self._learn(distinct[fresh], [pieces.text(k) for k in first[fresh].tolist()])
+        return np.searchsorted(self.known, distinct)[inverse]
 
     def encode(self, texts: pa.LargeStringArray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id, and how many each has."""
         words = Words.of(texts)
         starts, ends, data = words.starts, words.ends, words.data
         rows = np.repeat(np.arange(len(texts)), words.counts)
-        if len(starts):
-            # A full stop or comma after an ASCII letter or digit is a token of its own in any case.
-            last, before = data[ends - 1], data[np.maximum(ends - 2, 0)]
-            tail = ((last == 0x2E) | (last == 0x2C)) & (ends - starts > 1)
-            tail &= ((before | 0x20) >= 0x61) & ((before | 0x20) <= 0x7A) | (before >= 0x30) & (before <= 0x39)
-            times = 1 + tail
-            piece = np.repeat(np.arange(len(starts)), times)
-            second = np.zeros(len(piece), bool)
-            second[np.cumsum(times)[tail] - 1] = True
-            p_start = np.where(second, ends[piece] - 1, starts[piece])
-            p_end = np.where(tail[piece] & ~second, ends[piece] - 1, ends[piece])
-            rows = rows[piece]
-        else:
-            p_start = p_end = starts
-        lengths = p_end - p_start
-        offsets = np.concatenate([[0], np.cumsum(lengths)])
-        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[~words.space]))])
-        coded = pieces.dictionary_encode()
-        vocabulary = coded.dictionary.to_pylist()
-        self._learn(vocabulary)
-        number = np.fromiter(map(self.known.__getitem__, vocabulary), np.int64, len(vocabulary))
-        piece = number[coded.indices.to_numpy()]
-        low, size = self.bounds[piece], self.bounds[piece + 1] - self.bounds[piece]
+        if not len(starts):
+            return np.full(len(texts), end, self.dtype), np.ones(len(texts), np.int64)
+        # A full stop or comma after an ASCII letter or digit is a token of its own in any case.
+        last, before = data[ends - 1], data[np.maximum(ends - 2, 0)]
+        tail = ((last == 0x2E) | (last == 0x2C)) & (ends - starts > 1)
+        tail &= ((before | 0x20) >= 0x61) & ((before | 0x20) <= 0x7A) | (before >= 0x30) & (before <= 0x39)
+        times = 1 + tail
+        piece = np.repeat(np.arange(len(starts)), times)
+        second = np.zeros(len(piece), bool)
+        second[np.cumsum(times)[tail] - 1] = True
+        p_starts = np.where(second, ends[piece] - 1, starts[piece])
+        p_ends = np.where(tail[piece] & ~second, ends[piece] - 1, ends[piece])
+        rows = rows[piece]
+        place = self._places(words.cut(p_starts, p_ends))
+        low, size = self.start[place], self.size[place].astype(np.int64)
         counts = np.bincount(rows, size, len(texts)).astype(np.int64) + 1
         out = np.empty(counts.sum(), self.dtype)
-        last = np.cumsum(counts) - 1
+        finish = np.cumsum(counts) - 1
         inner = np.ones(len(out), bool)
-        inner[last] = False
-        shift = np.repeat(low - np.concatenate([[0], np.cumsum(size)[:-1]]) if len(size) else low, size)
+        inner[finish] = False
+        shift = np.repeat(low - np.concatenate([[0], np.cumsum(size)[:-1]]), size)
         out[inner] = self.ids[shift + np.arange(len(shift))]
-        out[last] = end
+        out[finish] = end
         return out, counts
 
 
