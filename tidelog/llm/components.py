@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.shared import cut
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, cut: Callable[[DataFrame, str], DataFrame] = cut) -> DataFrame:
     """(node, label) for every node of ``edges`` (a, b): the smallest node that it is connected to.
 
     A round gives each node the smallest label of its neighbours, lets all nodes of one label
     follow the best of them, and then takes the label of that label.  Whole trees move at once,
     so the rounds grow with the logarithm of a component's size.  Each round starts from a
-    written table, of no more partitions than there are cores.
+    written table (by ``cut``), of no more partitions than there are cores.
     """
     cores = edges.sparkSession.sparkContext.defaultParallelism
     keep = lambda df, name: cut(df.coalesce(cores), name)

@@ -29,7 +29,7 @@ their text; an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.components import components
-from tidelog.llm.shared import cut
+from tidelog.llm.shared import Scratch, cut
 from tidelog.llm.textbytes import Words, mix, slices, strings
 
 WIDTH = 5
@@ -294,7 +294,7 @@ def _apart_pairs(state: DataFrame, percent: int, part: int) -> DataFrame:
     return pairs.select(F.col("l.gid").alias("p"), F.col("r.gid").alias("q"))
 
 
-def set_components(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+def set_components(sets: DataFrame, percent: int = PERCENT, cut: Callable[[DataFrame, str], DataFrame] = cut) -> DataFrame:
     """(node, label) of the sets of :func:`prefixes` that link with another one."""
     alone = F.when(F.count("*") == 1, F.first("sketch"))  # sets of one group differ behind the prefix
     groups = sets.groupBy("gkey", "n").agg(F.min("sid").alias("gid"), *(F.first(c).alias(c) for c in ("prefix", "skipped", "m")), alone.alias("sketch"))
@@ -332,7 +332,7 @@ def set_components(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
         if part and found.isEmpty():
             continue
         known = found if known is None else known.unionByName(found)
-        labels = components(known)
+        labels = components(known, cut)
     return labels
 
 
@@ -350,12 +350,14 @@ def memberships(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     own = rows.select("doc_id", *row_keys(), "text").mapInArrow(_identities, "doc_id long, k1 long, k2 long, n_shingles long, sid long")
     own = cut(own, "ngram-identities")
     tokens = own.agg(F.sum("n_shingles").alias("n")).first()["n"] or 0
-    sets = cut(prefixes(rows, tokens, percent), "ngram-prefixes")
-    labels = set_components(sets, percent)
+    scratch = Scratch(docs.sparkSession, "ngram")
+    sets = scratch.cut(prefixes(rows, tokens, percent), "prefixes")
+    labels = set_components(sets, percent, scratch.cut)
     smallest = own.where("n_shingles > 0").groupBy("sid").agg(F.min("doc_id").alias("set_min"))
     placed = smallest.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "set_min", F.coalesce("label", "sid").alias("label"))
-    best = cut(placed.groupBy("label").agg(F.min("set_min").alias("component_id")), "ngram-smallest")
+    best = scratch.cut(placed.groupBy("label").agg(F.min("set_min").alias("component_id")), "smallest")
     placed = cut(placed.join(best, "label").select(F.col("sid").alias("own_sid"), "label", "component_id"), "ngram-components")
+    scratch.drop()
     out = own.join(placed, (F.col("sid") == F.col("own_sid")) & (F.col("n_shingles") > 0), "left").drop("own_sid")
     return out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
 

@@ -29,12 +29,26 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/tidelog-{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it again.
 
     What follows restarts from the files, also after executors are lost, and runs the steps
     before only once.
     """
-    folder = fresh_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    path = fresh_folder(df.sparkSession, name) if folder is None else f"{folder}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Tables that an operator needs only until its result is written."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder = spark, fresh_folder(spark, name)
+
+    def cut(self, df: DataFrame, name: str) -> DataFrame:
+        return cut(df, name, self.folder)
+
+    def drop(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
