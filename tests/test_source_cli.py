@@ -2,14 +2,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.helpers import by, column, make_log
-from tidelog.operators.source import EventSource, Unsupported, merged, stitched
+from tidelog.operators.source import LogSource, Unsupported, merged, stitched
 from tidelog.operators.transform import containing_event_types
 from tidelog.plans.cli import main
-from tidelog.sources.store import EventStore
+from tidelog.sources.store import LogStore
 
 
 def test_sources(spark, tmp_path):
-    source = EventSource.of_store(EventStore(spark, str(tmp_path / "s")))
+    source = LogSource.of_store(LogStore(spark, str(tmp_path / "s")))
     source.write("a", "1", [("A", b""), ("B", b"")])
     assert column(source.read_all(1), "event_type") == ["B"] and column(source.read_all_backwards(), "event_type") == ["B", "A"]
     assert column(source.read_categories("a"), "event_type") == ["A", "B"] and column(source.read_stream("a", "1", 0), "event_type") == ["B"]

@@ -10,12 +10,12 @@ from tidelog.functions.jsoncompat import difference, same_bytes, same_json
 from tidelog.model import IncompatibleNewEvent, WrongExpectedVersion
 from tidelog.operators import append, batches, diff, shovel
 from tidelog.sources.legacy import from_legacy, to_legacy
-from tidelog.sources.store import EventStore, StoreLocked, retrying
+from tidelog.sources.store import LogStore, StoreLocked, retrying
 
 
 @pytest.fixture
 def store(spark, tmp_path):
-    return EventStore(spark, str(tmp_path / "store"))
+    return LogStore(spark, str(tmp_path / "store"))
 
 
 def stored(store):

@@ -11,7 +11,6 @@ and the next stretch begins where the walk ended.  Nothing but such a window mee
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window

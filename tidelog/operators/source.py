@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 from tidelog.functions.positions import LONG, Codec
 from tidelog.operators import merge, reads, stitch
-from tidelog.sources.store import EventStore
+from tidelog.sources.store import LogStore
 from tidelog.streaming.health import store_status
 
 
@@ -18,7 +18,7 @@ class Unsupported(NotImplementedError):
 
 
 @dataclass(frozen=True)
-class EventSource:
+class LogSource:
     """Readers over a log.  ``store`` is where it is written; without one it is read-only.
 
     ``whole_only`` marks derived logs (merged, stitched, rekeyed), of which neither categories nor
@@ -26,12 +26,12 @@ class EventSource:
     """
 
     log: Callable[[], DataFrame]
-    store: EventStore | None = None
+    store: LogStore | None = None
     whole_only: bool = False
     codec: Codec = LONG
 
     @classmethod
-    def of_store(cls, store: EventStore) -> EventSource:
+    def of_store(cls, store: LogStore) -> LogSource:
         return cls(lambda: store.log, store)
 
     def _parts(self) -> DataFrame:
@@ -65,19 +65,19 @@ class EventSource:
             raise Unsupported("this source is read-only")
         self.store.write(category, id_, events, expected_version)
 
-    def apply(self, op: Callable[[DataFrame], DataFrame]) -> EventSource:
+    def apply(self, op: Callable[[DataFrame], DataFrame]) -> LogSource:
         """The transformed log, to be read as a whole."""
-        return EventSource(lambda: op(self.log()), whole_only=True, codec=self.codec)
+        return LogSource(lambda: op(self.log()), whole_only=True, codec=self.codec)
 
     def status(self) -> tuple[str, str]:
         return store_status(self.log())
 
 
-def merged(sources: dict[str, EventSource], key, snapshot=None) -> EventSource:
+def merged(sources: dict[str, LogSource], key, snapshot=None) -> LogSource:
     """Sources merged by a key; read-only and whole."""
-    return EventSource(lambda: merge.merge([merge.Input(n, s.log()) for n, s in sources.items()], key, snapshot), whole_only=True)
+    return LogSource(lambda: merge.merge([merge.Input(n, s.log()) for n, s in sources.items()], key, snapshot), whole_only=True)
 
 
-def stitched(backfill: EventSource, live: EventSource, cutoff: int) -> EventSource:
+def stitched(backfill: LogSource, live: LogSource, cutoff: int) -> LogSource:
     """A backfill before a live log; categories can be read, streams and writes can't."""
-    return EventSource(lambda: stitch.stitch(backfill.log(), live.log(), cutoff), whole_only=True)
+    return LogSource(lambda: stitch.stitch(backfill.log(), live.log(), cutoff), whole_only=True)

@@ -15,7 +15,7 @@ from tidelog.operators import append, batches, clock, diff, merge, reads, shovel
 
 from tidelog.plans.adapter import LOG_SQL, METADATA_SQL, log, unnumbered, with_metadata
 from tidelog.sources import archives, legacy
-from tidelog.sources.store import EventStore
+from tidelog.sources.store import LogStore
 from tidelog.sources.tables import shared_folder
 from tidelog.streaming.health import Threshold
 from tidelog.streaming.subscription import Subscription
@@ -257,7 +257,7 @@ def _(s, d):
 @query("store_write_and_read", f"SELECT {SHOWN} FROM ev")
 def _(s, d):
     """Two appends to a new Parquet store, read back."""
-    store = EventStore(s, _folder(s, "store"))
+    store = LogStore(s, _folder(s, "store"))
     old, new = _split(s, d)
     for part in (old, new):
         binary = [F.col(c).cast("binary").alias(c) for c in ("data",)]
