@@ -165,6 +165,34 @@ def test_invalid_values_stay():
     assert OWN.text(text) == text
 
 
+@pytest.mark.parametrize(
+    "value, rest, kind",
+    [
+        ("4111 1111 1111 1111", " 12/26", "card"),
+        ("4111111111111111", " 123", "card"),
+        ("DE89370400440532013000", " EUR 50", "iban"),
+        ("DE89 3704 0044 0532 0130 00", " BIC COBADEFF", "iban"),
+        ("25/12/2020", "", "date"),
+        ("January 12, 2020", "", "date"),
+        ("12. März 2020", "", "date"),
+        ("12 février 2020", "", "date"),
+        ("12 de enero de 2020", "", "date"),
+        ("a1" * 40 + "@example.org", "", "email"),
+    ],
+)
+def test_pseudonyms_leave_no_value(value, rest, kind):
+    counts = [0] * len(pii.KINDS)
+    new = OWN.text(f"see {value}{rest}", counts)
+    assert value not in new and new.endswith(rest) and counts[pii.KINDS.index(kind)] == sum(counts) == 1
+    assert new == f"see {OWN.text(value)}{rest}"
+
+
+def test_day_first_dates_stay_apart():
+    days = [f"{d}/{m:02d}/{y}" for y in (2019, 2020) for m in range(1, 13) for d in range(13, 29)]
+    new = [OWN.text(d) for d in days]
+    assert len(set(new)) == len(days) and [BACK.text(d) for d in new] == days
+
+
 def test_pseudonyms_link_documents(spark):
     docs = spark.createDataFrame([(i, f"{i} pays with 4539148803436467 from 10.0.0.{i % 2}") for i in range(10)], "doc_id long, text string")
     got = [r["text"].split() for r in pii.pseudonymise(docs, b"k").orderBy("doc_id").collect()]

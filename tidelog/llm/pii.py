@@ -2,7 +2,7 @@
 
 Card numbers (Luhn), phone numbers, IPv4 addresses, social-security-style numbers, IBANs (mod 97)
 and dates are validated and replaced by other values of the same format; local parts of e-mail
-addresses likewise.  The permutation depends on the key and the kind only, so equal values get
+addresses likewise.  A number is taken without what follows it if only then it is valid.  The permutation depends on the key and the kind only, so equal values get
 equal pseudonyms in all documents and different values stay different.  Nothing is stored: no
 table of values, and no shuffle.
 
@@ -29,22 +29,29 @@ KINDS = ("email", "iban", "card", "ip", "phone", "ssn", "date")
 ROUNDS = 10
 FIRST_DAY, LAST_DAY = dt.date(1900, 1, 1), dt.date(2099, 12, 31)
 DAYS = (LAST_DAY - FIRST_DAY).days + 1
-MONTHS = {m: i for i, m in enumerate("January February March April May June July August September October November December".split(), 1)}
-
-PATTERN = re.compile(
-    r"""
-    (?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})
-  | (?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9]))
-  | (?P<ip>(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9]))
-  | (?P<date>(?<![0-9.])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4})(?![0-9]|\.[0-9]))
-  | (?P<day>(?<![0-9.])[0-9]{1,2}\.?\x20(?:January|February|March|April|May|June|July|August|September|October|November|December)\x20[0-9]{4}(?![0-9]))
-  | (?P<ssn>(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]))
-  | (?P<card>(?<![0-9A-Za-z])[0-9](?:[\x20-]?[0-9]){12,18}(?![0-9A-Za-z]))
-  | (?P<phone>(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[\x20.-][0-9]{3,4}[\x20.-]?[0-9]{3,4}(?![0-9])
-     | (?<![0-9A-Za-z+])\+[0-9]{8,15}(?![0-9]))
-    """,
-    re.X,
-)
+#: Names of months in the corpus's languages; of a name in two, a day with a full stop tells German.
+MONTHS = {
+    "en": "January February March April May June July August September October November December".split(),
+    "de": "Januar Februar März April Mai Juni Juli August September Oktober November Dezember".split(),
+    "fr": "janvier février mars avril mai juin juillet août septembre octobre novembre décembre".split(),
+    "es": "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split(),
+}
+NAMES = "|".join(sorted({re.escape(m) for names in MONTHS.values() for m in names}, key=lambda m: (-len(m), m)))
+PIECE = 1 << 240
+
+PIECES = {
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
+    "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
+    "date": r"(?<![0-9.])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4})(?![0-9]|\.[0-9])",
+    "day": rf"(?<![0-9.])[0-9]{{1,2}}(?:\.|er|st|nd|rd|th)?\x20(?:de\x20|of\x20)?(?i:{NAMES}),?\x20(?:del?\x20)?[0-9]{{4}}(?![0-9])",
+    "month": rf"\b(?i:{NAMES})\x20[0-9]{{1,2}}(?:st|nd|rd|th)?,?\x20[0-9]{{4}}(?![0-9])",
+    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "card": r"(?<![0-9A-Za-z])[0-9](?:[\x20-]?[0-9]){12,18}(?![0-9A-Za-z])",
+    "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[\x20.-][0-9]{3,4}[\x20.-]?[0-9]{3,4}(?![0-9])|(?<![0-9A-Za-z+])\+[0-9]{8,15}(?![0-9])",
+}
+PATTERNS = {kind: re.compile(pattern) for kind, pattern in PIECES.items()}
+PATTERN = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in PIECES.items()))
 QUICK = re.compile(r"[0-9@]")
 
 
@@ -162,18 +169,27 @@ class Pseudonyms:
         return "".join(c if c == " " else next(new) for c in text)
 
     def alphanumeric(self, kind: str, text: str) -> str:
-        """Digits stay digits, and letters letters of their case; other characters stay."""
-        value, size = 0, 1
+        """Digits stay digits, and letters letters of their case; other characters stay.
+
+        Texts of more values than a network takes are permuted in pieces, each with the place of its start.
+        """
         spans = [(10, "0123456789") if c in "0123456789" else (26, "abcdefghijklmnopqrstuvwxyz") if "a" <= c <= "z" else (26, "ABCDEFGHIJKLMNOPQRSTUVWXYZ") if "A" <= c <= "Z" else (1, c) for c in text]
-        for c, (n, letters) in zip(text, spans):
-            value, size = value * n + letters.index(c), size * n
-        shape = "".join("0" if n == 10 else letters[0] for n, letters in spans)
-        value = self._feistel(f"{kind}:{shape}", size)(value) if 1 < size < 1 << 240 else value
-        out = []
-        for n, letters in reversed(spans):
-            value, k = divmod(value, n)
-            out.append(letters[k])
-        return "".join(reversed(out))
+        out, at = [], 0
+        while at < len(text):
+            start, value, size = at, 0, 1
+            while at < len(text) and size * spans[at][0] < PIECE:
+                n, letters = spans[at]
+                value, size, at = value * n + letters.index(text[at]), size * n, at + 1
+            piece = spans[start:at]
+            shape = "".join("0" if n == 10 else letters[0] for n, letters in piece)
+            if size > 1:
+                value = self._feistel(f"{kind}:{start}:{shape}" if start else f"{kind}:{shape}", size)(value)
+            chars = []
+            for n, letters in reversed(piece):
+                value, k = divmod(value, n)
+                chars.append(letters[k])
+            out += reversed(chars)
+        return "".join(out)
 
     def email(self, text: str) -> str | None:
         local, _, domain = text.rpartition("@")
@@ -183,14 +199,22 @@ class Pseudonyms:
         return FIRST_DAY + dt.timedelta(self._feistel("date", DAYS)((day - FIRST_DAY).days))
 
     def date(self, text: str) -> str | None:
-        """Years first; day first with full stops; month first with slashes, unless that is no date."""
+        """Years first; day first with full stops; month first with slashes, unless the first is above 12.
+
+        Days above 12 that come first stay above 12, so that no two such texts of one reading become one.
+        """
         try:
             if "-" in text:
                 return self._day(_known(dt.date.fromisoformat(text))).isoformat()
             a, b, year = map(int, re.split(r"[./]", text))
             mark = "." if "." in text else "/"
             wide = 2 if len(re.split(r"[./]", text)[0]) == 2 else 1
-            if mark == "/":
+            if mark == "/" and a > 12:
+                new = self._day(_known(dt.date(year, b, a)))
+                while new.day <= 12:
+                    new = self._day(new)
+                first, second = new.day, new.month
+            elif mark == "/":
                 new = self._day(_known(dt.date(year, a, b)))
                 first, second = new.month, new.day
             else:
@@ -201,25 +225,57 @@ class Pseudonyms:
             return None
 
     def day(self, text: str) -> str | None:
-        number, month, year = text.split(" ")
+        """A date with its month in words, in either order; ordinal endings go, since they depend on the day."""
+        name = re.search(NAMES, text, re.I)
+        number, year = re.findall("[0-9]+", text)
+        known = [months for months in MONTHS.values() if name[0].lower() in map(str.lower, months)]
+        months = MONTHS["de"] if MONTHS["de"] in known and f"{number}." in text else known[0]
         try:
-            new = self._day(_known(dt.date(int(year), MONTHS[month], int(number.rstrip(".")))))
+            new = self._day(_known(dt.date(int(year), [m.lower() for m in months].index(name[0].lower()) + 1, int(number))))
         except ValueError:
             return None
-        return f"{new.day}{'.' if '.' in number else ''} {list(MONTHS)[new.month - 1]} {new.year}"
+        word = months[new.month - 1]
+        word = word.upper() if name[0].isupper() else word.lower() if name[0].islower() else word.capitalize()
+        parts = {number: str(new.day), name[0]: word, year: str(new.year)}
+        return re.sub(rf"([0-9]+)(?:er|st|nd|rd|th)?|{re.escape(name[0])}", lambda m: parts[m[1] or m[0]], text)
+
+    month = day
+
+    def value(self, kind: str, text: str) -> tuple[str, int] | None:
+        """The pseudonym and how many characters it stands for: all, or up to the last border at which the value is valid."""
+        borders = [m.start() for m in re.finditer(r"[\x20-]", text)] if kind in ("card", "iban") else []
+        for end in [len(text), *reversed(borders)]:
+            part = text[:end]
+            if end < len(text) and not PATTERNS[kind].fullmatch(part):
+                continue
+            new = getattr(self, kind)(part)
+            if new is not None:
+                return new, end
+        return None
 
     def text(self, text: str, counts: list[int] | None = None) -> str:
-        """The text with all values replaced; ``counts`` is raised at each kind."""
-
-        def swap(m: re.Match) -> str:
-            new = getattr(self, m.lastgroup)(m[0])
+        """The text with all values replaced; ``counts`` is raised at each kind.
+
+        What fails the check of one kind is tried as the others, and then from its next border.
+        """
+        out, done, at = [], 0, 0
+        while found := PATTERN.search(text, at):
+            start, kind = found.start(), found.lastgroup
+            new = self.value(kind, found[0])
+            for other in PATTERNS if new is None else ():
+                again = PATTERNS[other].match(text, start) if other != kind else None
+                new = again and self.value(other, again[0])
+                if new:
+                    kind = other
+                    break
             if new is None:
-                return m[0]
+                at = start + 1
+                continue
+            out += [text[done:start], new[0]]
+            done = at = start + new[1]
             if counts is not None:
-                counts[KINDS.index("date" if m.lastgroup == "day" else m.lastgroup)] += 1
-            return new
-
-        return PATTERN.sub(swap, text)
+                counts[KINDS.index("date" if kind in ("day", "month") else kind)] += 1
+        return "".join([*out, text[done:]])
 
 
 def _known(day: dt.date) -> dt.date:
