@@ -9,6 +9,7 @@ from tests.helpers import by, column, effective, keyed, make_log
 from tidelog.functions.jsoncompat import difference, same_bytes, same_json
 from tidelog.model import IncompatibleNewEvent, WrongExpectedVersion
 from tidelog.operators import append, batches, diff, shovel
+from tidelog.plans import catalog
 from tidelog.sources.legacy import from_legacy, to_legacy
 from tidelog.sources.store import LogStore, StoreLocked, retrying
 
@@ -213,6 +214,29 @@ def test_diff_equals_one_walk(spark, seed, window):
     assert compare(spark, ev(*base), ev(*other), window=window) == want
 
 
+@pytest.mark.parametrize("ts", ["", "late", "tied"])
+def test_diff_from_many_starts(spark, ts):
+    rng = random.Random(4)
+    stamp = lambda t: "" if not ts else f"{t // 300:05d}" if ts == "tied" else f"{t - 40 * rng.randrange(3) + 100:05d}"
+    base = [(stamp(t), f"T{t % 7}", f"{t % 11}") for t in range(1200)]
+    other = [(r[0], r[1], "{}") if t % 10 == 3 else r for t, r in enumerate(base) if t % 97 != 5]
+    for a, b in ((base, other), (other, base)):
+        rows, i, j = diff.walk(a, b)
+        want = [(c, None if x is None else x + 1, None if y is None else y + 1) for c, x, y in rows]
+        want += [("unmatched_a", k + 1, None) for k in range(i, len(a))] + [("unmatched_b", None, k + 1) for k in range(j, len(b))]
+        assert compare(spark, ev(*a), ev(*b), window=800) == want
+
+
+def test_diff_queries_take_the_whole_log(spark):
+    folder = "/root/testdata/sf0.01"
+    a, b = ([tuple(r) for r in side.orderBy("position").collect()] for side in catalog._sides(spark, folder))
+    assert len(a) == 10_000
+    rows, i, j = diff.walk([r[1:] for r in a], [r[1:] for r in b])
+    want = [(c, None if x is None else a[x][0], None if y is None else b[y][0]) for c, x, y in rows]
+    want += [("unmatched_a", r[0], None) for r in a[i:]] + [("unmatched_b", None, r[0]) for r in b[j:]]
+    assert by(catalog.queries()["diff_walk"](spark, folder), "seq", "class", "a_position", "b_position") == want
+
+
 def test_diff_summary_and_samples(spark, tmp_path):
     sides = [spark.createDataFrame(x, "position long, ts string, type string, body string") for x in (ev(("1", "A", "x"), ("2", "A", "y"), ("3", "B", "z")), ev(("1", "A", "x"), ("2", "A", "y"), ("4", "Q", "q")))]
     compared = diff.diff(*sides)

@@ -4,14 +4,16 @@ Two pointers walk along the logs.  Equal heads match and similar heads (two of e
 timestamp, type and body equal) pair up; else the head with the smaller timestamp, compared as
 text, is unmatched (of equal timestamps the first log's).  Each step depends on all before it.
 
-Long stretches in step are settled in parallel, by a join on the row number up to the first pair
-that is neither equal nor similar.  From there a window of bounded size is walked in one task,
-and the next stretch begins where the walk ended.  Nothing but such a window meets in a task.
+Walks from different places mostly come together soon.  So walkers begin all along the logs at once,
+at likely places, and each goes on a little past the start of the next.  Where its walk comes to a
+place of a later walker, the later one's steps hold; the chain of them from the start is the walk.
+A walker that meets no other goes on by windows of bounded size until it does, so that a wrong
+start costs time and never changes the result.  Nothing but such windows meets in a task.
 """
 
 from __future__ import annotations
 
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,6 +24,8 @@ from tidelog.sources.tables import written
 
 MATCHING, SIMILAR, UNMATCHED_A, UNMATCHED_B = "matching", "similar", "unmatched_a", "unmatched_b"
 WINDOW = 100_000
+#: Rows of each side that a walker may take at once, however small the window: each round is a Spark job.
+LEAST_WINDOW = 256
 FORKED = "IdempotentStreamForked"
 
 
@@ -53,47 +57,120 @@ def walk(a: list[tuple], b: list[tuple]) -> tuple[list[tuple], int, int]:
     return out, i, j
 
 
-def _walk_window(a: DataFrame, b: DataFrame) -> DataFrame:
-    """One task walks a bounded window of both sides."""
+def _starts(a: DataFrame, b: DataFrame, n: int, m: int, step: int) -> list[tuple[int, int]]:
+    """Places (index in a, index in b) from which walks begin, at most about ``step`` rows apart.
+
+    Where both logs first reach a timestamp, a walk is likely to have both heads; ``mts`` is the
+    running maximum.  Within long ties the two sides are guessed to advance together.
+    """
+    marks = a.where(F.col("idx") % step == 0).select("mts").union(b.where(F.col("idx") % step == 0).select("mts"))
+    cuts = np.array(sorted(r["mts"] for r in marks.distinct().collect()), dtype=object)
+    passed = F.pandas_udf(lambda ts: pd.Series(np.searchsorted(cuts, ts.to_numpy(object), side="right")), "long")
+    reached = []
+    for side, size in ((a, n), (b, m)):
+        first = {r["k"]: r["x"] for r in side.groupBy(passed("mts").alias("k")).agg(F.min("idx").alias("x")).collect()}
+        at = [size] * (len(cuts) + 1)
+        for k in reversed(range(len(cuts))):
+            at[k] = first.get(k + 1, at[k + 1])
+        reached.append(at)
+    places = sorted({(0, 0), *zip(*reached), (n, m)})
+    out = []
+    for (i, j), (x, y) in zip(places, places[1:]):
+        out += [(min(i + k, x), min(j + k, y)) for k in range(0, max(x - i, y - j), step)]
+    return [(i, j) for i, j in out if i < n and j < m]
+
+
+def _near(side: DataFrame, ranges: list[tuple[int, int, int]], step: int) -> DataFrame:
+    """The rows of each (walker, first index, end); blocks of indexes make it an equi-join."""
+    blocks = [(w, x, y, k) for w, x, y in ranges for k in range(x // step, (y - 1) // step + 1)]
+    wanted = side.sparkSession.createDataFrame(blocks, "w long, lo long, hi long, block long")
+    joined = side.withColumn("block", F.floor(F.col("idx") / step)).join(F.broadcast(wanted), "block")
+    return joined.where("idx >= lo and idx < hi").select("w", "idx", "ts", "type", "body")
+
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+def _walk_windows(a: DataFrame, b: DataFrame, at: dict[int, tuple[int, int, int]]) -> DataFrame:
+    """Each walker goes on from its place and step number ``at``, in one task for each, until a window ends.
+
+    Gives the place before each step, and the place reached with a null class.
+    """
+
+    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        i, j, n = at[key[0]]
         left, right = (x.sort_values("idx") for x in (left, right))
         rows = [[(t or "", k, bytes(v) if isinstance(v, (bytes, bytearray)) else v) for t, k, v in zip(x["ts"], x["type"], x["body"])] for x in (left, right)]
-        out, _, _ = walk(*rows)
-        at = lambda x, k: None if k is None else int(x["idx"].iloc[k])
-        return pd.DataFrame([(n, c, at(left, i), at(right, j)) for n, (c, i, j) in enumerate(out)], columns=["n", "class", "a_idx", "b_idx"]).astype({"a_idx": "Int64", "b_idx": "Int64"})
-
-    one = lambda x: x.withColumn("_k", F.lit(0)).groupBy("_k")
-    return one(a).cogroup(one(b)).applyInPandas(run, "n long, class string, a_idx long, b_idx long")
+        steps = []
+        for kind, x, y in walk(*rows)[0]:
+            steps.append((key[0], n, i, j, kind))
+            i, j, n = i + (x is not None), j + (y is not None), n + 1
+        return pd.DataFrame([*steps, (key[0], n, i, j, None)], columns=["w", "n", "i", "j", "class"])
+
+    return a.groupBy("w").cogroup(b.groupBy("w")).applyInPandas(run, "w long, n long, i long, j long, class string")
+
+
+def _chain(n: int, m: int, ends: dict[int, tuple], meets: dict[int, tuple]) -> tuple[list[tuple], int | None]:
+    """(walker, first step, end, seq of the first) of the one walk from the start; and the walker it still waits for."""
+    parts, w, at, seq = [], 0, 0, 0
+    while True:
+        if w in meets:
+            leave, other, theirs = meets[w]
+        elif ends[w][0] == n or ends[w][1] == m:
+            return [*parts, (w, at, ends[w][2], seq)], None
+        else:
+            return parts, w
+        if at < leave:
+            parts.append((w, at, leave, seq))
+            seq += leave - at
+        w, at = other, theirs + max(0, at - leave)
+
+
+def _walked(a: DataFrame, b: DataFrame, n: int, m: int, window: int) -> tuple[DataFrame, int, int, int]:
+    """The steps (seq, class, a_idx, b_idx) of the walk from the start, and seq and places at its end."""
+    window = max(window, LEAST_WINDOW)
+    step, slack = window // 8, window // 16
+    starts = _starts(a, b, n, m, step)
+    following = [*starts[1:], (n, m)]
+    at = {w: (i, j, 0) for w, (i, j) in enumerate(starts)}
+    reach = {w: (x - i + slack, y - j + slack) for w, ((i, j), (x, y)) in enumerate(zip(starts, following))}
+    beyond = a.sparkSession.createDataFrame([(w, x, y) for w, (x, y) in enumerate(following)], "w long, x long, y long")
+    ends, tried, taken = {}, dict.fromkeys(at, 0), None
+    while at:
+        ranges = [[(w, p[k], min(size, p[k] + min(window, reach.get(w, (window, window))[k]))) for w, p in at.items()] for k, size in ((0, n), (1, m))]
+        fresh = written(_walk_windows(_near(a, ranges[0], step), _near(b, ranges[1], step), at), "diff-walk")
+        taken = fresh if taken is None else taken.unionByName(fresh)
+        ends |= {r["w"]: (r["i"], r["j"], r["n"]) for r in fresh.where("class is null").collect()}
+        # Where a walk comes to a place from which a later walker has stepped, that one's steps hold.
+        late = taken.join(F.broadcast(beyond), "w").where("i >= x and j >= y").select("w", "n", "i", "j")
+        known = taken.where("class is not null").select(F.col("w").alias("other"), F.col("n").alias("theirs"), "i", "j")
+        met = late.join(known, ["i", "j"]).where("other > w").groupBy("w").agg(F.min(F.struct("n", -F.col("other"), "theirs")).alias("x"))
+        meets = {r["w"]: (r["x"][0], -r["x"][1], r["x"][2]) for r in met.collect()}
+        parts, waiting = _chain(n, m, ends, meets)
+        if waiting is None:
+            break
+        # All go on that have met no other yet, but each only thrice; then only the one that is waited for.
+        going = [w for w, (i, j, _) in ends.items() if w == waiting or w > waiting and w not in meets and i < n and j < m and tried[w] < 3]
+        at, reach = {w: ends[w] for w in going}, {}
+        for w in going:
+            tried[w] += 1
+    place = a.sparkSession.createDataFrame(parts, "w long, lo long, hi long, first long")
+    own = taken.where("class is not null").join(F.broadcast(place), "w").where("n >= lo and n < hi")
+    steps = own.select((F.col("first") + F.col("n") - F.col("lo")).alias("seq"), "class", F.when(F.col("class") != UNMATCHED_B, F.col("i")).alias("a_idx"), F.when(F.col("class") != UNMATCHED_A, F.col("j")).alias("b_idx"))
+    w, lo, hi, first = parts[-1]
+    return steps, first + hi - lo, ends[w][0], ends[w][1]
 
 
 def diff(a: DataFrame, b: DataFrame, window: int = WINDOW) -> DataFrame:
     """seq (from 0), class, a_position and b_position of the comparison of two :func:`diff_events`."""
-    spark = a.sparkSession
     sides = []
     for name, log in (("a", a), ("b", b)):
-        indexed = running(log, {"idx": ("count", None)}).withColumn("idx", F.col("idx") - 1)
+        indexed = running(log, {"idx": ("count", None), "mts": ("max", F.coalesce("ts", F.lit("")))}).withColumn("idx", F.col("idx") - 1)
         sides.append(written(indexed, f"diff-{name}"))
     left, right = sides
     n, m = left.count(), right.count()
     i = j = seq = 0
     parts = []
-    while i < n and j < m:
-        shift = F.lit(j - i)
-        pairs = left.where(F.col("idx") >= i).alias("a").join(right.where(F.col("idx") >= j).alias("b"), F.col("a.idx") + shift == F.col("b.idx"))
-        pairs = pairs.withColumn("same", agreeing())
-        broken = pairs.where("same < 2").agg(F.min("a.idx").alias("x")).first()["x"]
-        end = min(n - i, m - j) if broken is None else broken - i
-        if end:
-            kind = F.when(F.col("same") == 3, MATCHING).otherwise(SIMILAR)
-            parts.append(pairs.where(F.col("a.idx") < i + end).select((F.col("a.idx") - i + seq).alias("seq"), kind.alias("class"), F.col("a.idx").alias("a_idx"), F.col("b.idx").alias("b_idx")))
-            i, j, seq = i + end, j + end, seq + end
-        if i < n and j < m:
-            near = lambda side, k: side.where((F.col("idx") >= k) & (F.col("idx") < k + window))
-            walked = written(_walk_window(near(left, i), near(right, j)), "diff-walk")
-            parts.append(walked.select((F.col("n") + seq).alias("seq"), "class", "a_idx", "b_idx"))
-            done = walked.agg(F.count("*").alias("n"), F.count("a_idx").alias("i"), F.count("b_idx").alias("j")).first()
-            i, j, seq = i + done["i"], j + done["j"], seq + done["n"]
+    if n and m:
+        steps, seq, i, j = _walked(left, right, n, m, window)
+        parts.append(steps)
     none = F.lit(None).cast("long")
     parts.append(left.where(F.col("idx") >= i).select((F.col("idx") - i + seq).alias("seq"), F.lit(UNMATCHED_A).alias("class"), F.col("idx").alias("a_idx"), none.alias("b_idx")))
     seq += n - i
