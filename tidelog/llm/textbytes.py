@@ -147,21 +147,14 @@ class Words:
 
     def trim(self) -> Words:
         """The same words without ASCII punctuation at either end; a word of nothing else stays."""
-        starts, ends = self.starts.copy(), self.ends.copy()
+        starts, ends = self.starts, self.ends
         if len(starts):
-            whole = ends.copy()
-            for _ in range(64):
-                cut = (ends - starts > 1) & _PUNCTUATION[self.data[ends - 1]]
-                if not cut.any():
-                    break
-                ends[cut] -= 1
-            for _ in range(64):
-                cut = (ends - starts > 1) & _PUNCTUATION[self.data[starts]]
-                if not cut.any():
-                    break
-                starts[cut] += 1
-            nothing = _PUNCTUATION[self.data[starts]]
-            starts[nothing], ends[nothing] = self.starts[nothing], whole[nothing]
+            solid = np.flatnonzero(~_PUNCTUATION[self.data])  # the words' own bytes, and blanks
+            solid = solid[~self.space[solid]]
+            low, high = np.searchsorted(solid, starts), np.searchsorted(solid, ends)
+            some = low < high
+            starts, ends = starts.copy(), ends.copy()
+            starts[some], ends[some] = solid[low[some]], solid[high[some] - 1] + 1
         out = self.cut(starts, ends)
         out.__dict__["first"] = self.first
         return out

@@ -1,23 +1,31 @@
 """Toxicity by the nearest labelled examples.
 
-Documents are TF-IDF vectors over terms that the labels depend on.  The labelled examples lie in
-an inverted index cut into blocks; each block keeps the largest weight of every term.  The sum of
-query weight times block maximum bounds the cosine of every example in a block, so blocks are
-visited from the highest bound on, until no bound can reach the k-th best cosine: the result is
-the exact list of nearest examples.  Their votes, weighted by similarity, give a raw score, which
-is calibrated by the same search over the examples, each without itself.
-
-The classifier (terms, examples, calibration) is fitted on at most ``sample_rows`` labelled rows.
-Document frequencies of its terms are counted over all documents.
-
-Cases: a null or empty text, or one without a known term, gets the rate of such examples; several
-labels of a doc_id count as toxic if one is; equal texts get equal scores; without any labelled
-row every score is 0; an empty table gives an empty result; extra columns are ignored.
+Documents are TF-IDF vectors over all terms of the labelled examples.  A term's inverse document
+frequency is counted over all documents and multiplied by the square of its relevance frequency,
+log2(2 + toxic examples with it / other examples with it), so that terms which go with the label
+weigh more; no term is left out.  The examples lie in an inverted index cut into blocks, with the
+largest weight of widespread terms in each block.  Query weight times block maximum bounds the
+cosine of every example in a block; the blocks of the highest bounds are scored, and then those
+whose bound reaches the k-th best cosine.  The result is exact: all examples whose cosine is at
+least the k-th best, ties included.  Their votes, weighted by similarity, give a raw score,
+which is calibrated by the same search over the examples, each without itself.
+
+The classifier (terms, examples, calibration) is fitted on at most ``sample_rows`` labelled rows
+with at most ``sample_postings`` distinct words in all: rows are taken by a hash of their id while
+they fit.  This bounds the index that is broadcast.
+
+Cases: a null or empty text, or one without a known term, gets the rate of such examples, or of
+all where there are none; texts of any length are read whole; several labels of a doc_id count as
+toxic if one is; equal texts are one example, toxic if one copy is, and get equal scores; ties at
+the k-th cosine all vote, and no id or order of rows enters a score; without any labelled row
+every score is 0; an empty table gives an empty result; extra columns, whatever their names, are
+ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +35,14 @@ from pyspark.sql import functions as F
 from tidelog.llm.textbytes import Words, slices, strings
 
 SAMPLE_ROWS = 16_384
-TERMS = 1024
+SAMPLE_POSTINGS = 6_000_000
 BLOCK = 64
 NEIGHBOURS = 25
-CHI_SQUARE = 15.0
-LIFT = 2.0
+FIRST_BLOCKS = 8
+BATCH = 64
+#: Terms in this share of the examples have columns.
+OFTEN = 0.1
+Vector = tuple[np.ndarray, np.ndarray]
 
 
 def remainder(doc_id: Column) -> Column:
@@ -39,99 +50,137 @@ def remainder(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4
 
 
-def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct terms of each batch: hash, the term, and how many documents and toxic ones hold it."""
-    for batch in batches:
-        texts, toxic = strings(batch.column("text")), batch.column("toxic").to_numpy(zero_copy_only=False)
-        for low, high in slices(texts):
-            words = Words.of(texts.slice(low, high - low), fold=True).trim()
-            rows = np.repeat(np.arange(high - low), words.counts)
-            order = np.lexsort((rows, words.hashes))
-            h, r = words.hashes[order], rows[order]
-            fresh = np.ones(len(h), bool)
-            fresh[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
-            h, r, order = h[fresh], r[fresh], order[fresh]
-            terms, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-            yield pa.record_batch(
-                [pa.array(terms.view(np.int64)), pa.array(np.bincount(inverse, minlength=len(terms)), pa.int64()), pa.array(np.bincount(inverse, toxic[low + r], len(terms)).astype(np.int64))],
-                ["term", "n", "n_toxic"],
-            )
-
-
-def vectors(words: Words, vocabulary: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, index into ``vocabulary``, count) of the known terms of each row, in order."""
-    place = np.minimum(np.searchsorted(vocabulary, words.hashes), len(vocabulary) - 1)
-    hit = np.flatnonzero(vocabulary[place] == words.hashes)
-    rows = np.searchsorted(words.first, hit, "right") - 1
-    pairs, counts = np.unique(rows * len(vocabulary) + place[hit], return_counts=True)
-    return pairs // len(vocabulary), pairs % len(vocabulary), counts
+def term_counts(texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, hash of a term, count) of the terms of each text, by row and hash."""
+    words = Words.of(texts, fold=True).trim()
+    terms, code = np.unique(words.hashes, return_inverse=True)
+    rows = np.repeat(np.arange(len(texts)), words.counts)
+    pairs, counts = np.unique(rows * max(1, len(terms)) + code, return_counts=True)
+    return pairs // max(1, len(terms)), terms[pairs % max(1, len(terms))], counts
+
+
+def known_terms(texts: pa.LargeStringArray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, index into the sorted ``vocabulary``, count) of the known terms of each text, in order."""
+    rows, terms, counts = term_counts(texts)
+    place = np.minimum(np.searchsorted(vocabulary, terms), max(0, len(vocabulary) - 1))
+    hit = vocabulary[place] == terms if len(vocabulary) else np.zeros(len(terms), bool)
+    return rows[hit], place[hit], counts[hit]
+
+
+def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The integers from each start on, ``lengths`` of them, one range after the other."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
 
 
 class Index:
-    """Labelled example vectors in blocks, with the maximum of each term in each block.
+    """Labelled example vectors in blocks.
 
-    Examples lie by their heaviest term, so that blocks differ in their maxima.
+    A term of few examples has a posting list, whose products are summed as they are.  A term of
+    many has a column, and its maximum in each block bounds what it adds there, so that columns
+    are read only for blocks that may hold a near example.  Examples with the same widespread
+    terms, of one language say, lie together, so that blocks differ in their maxima.
     """
 
-    def __init__(self, idf: np.ndarray, ids: np.ndarray, labels: np.ndarray, examples: list[tuple[np.ndarray, np.ndarray]]):
-        self.idf = idf
-        weighted = [(t, self.weigh(t, c)) for t, c in examples]
-        order = sorted(range(len(ids)), key=lambda i: (int(weighted[i][0][np.argmax(weighted[i][1])]), -float(weighted[i][1].max()), int(ids[i])))
-        self.ids, self.labels = ids[order], labels[order]
-        sizes = [len(weighted[i][0]) for i in order]
-        self.term = np.concatenate([np.zeros(0, np.int64), *(weighted[i][0] for i in order)])
-        self.weight = np.concatenate([np.zeros(0), *(weighted[i][1] for i in order)])
-        self.example = np.repeat(np.arange(len(ids)), sizes)
-        blocks = -(-len(ids) // BLOCK)
-        self.bounds = np.searchsorted(self.example, np.arange(blocks + 1) * BLOCK)
-        self.peak = np.zeros((len(idf), blocks))
-        np.maximum.at(self.peak, (self.term, self.example // BLOCK), self.weight)
+    def __init__(self, factor: np.ndarray, labels: np.ndarray, examples: list[Vector]):
+        self.factor = factor
+        sizes = np.array([len(t) for t, _ in examples], np.int64)
+        term = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in examples)])
+        spread = np.bincount(term, minlength=len(factor))
+        # Blocks by the three most widespread terms of each example, then by its heaviest one.
+        weighted = [self.weigh(t, c) for t, c in examples]
+        keys = [(*t[np.argsort(-spread[t], kind="stable")[:3]].tolist(), int(t[np.argmax(w)])) if len(t) else () for (t, _), w in zip(examples, weighted)]
+        self.order = np.array(sorted(range(len(examples)), key=keys.__getitem__), np.int64)
+        self.labels = np.asarray(labels, float)[self.order]
+        self.place = np.argsort(self.order)
+        self.bounds = np.append(np.arange(0, len(examples), BLOCK), len(examples))
+        example, weight = np.repeat(self.place, sizes), np.concatenate([np.zeros(0), *weighted])
+        often = np.flatnonzero(spread >= max(2.0, OFTEN * len(examples)))
+        self.column = np.full(len(factor), -1, np.int32)
+        self.column[often] = np.arange(len(often))
+        wide = self.column[term] >= 0
+        self.columns = np.zeros((len(examples), len(often)))
+        self.columns[example[wide], self.column[term[wide]]] = weight[wide]
+        self.peak = np.maximum.reduceat(self.columns, self.bounds[:-1], axis=0).T.copy()
+        by = np.lexsort((example[~wide], term[~wide]))
+        self.example, self.weight = example[~wide][by].astype(np.int32), weight[~wide][by]
+        self.entry = np.concatenate([[0], np.cumsum(np.bincount(term[~wide], minlength=len(factor)))])
 
     def weigh(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        w = (1 + np.log(counts)) * self.idf[terms]
-        return w / np.sqrt((w * w).sum())
-
-    def nearest(self, terms: np.ndarray, counts: np.ndarray, k: int, skip: int | None = None) -> list[tuple[float, int]]:
-        """The k best (cosine, example), by cosine and then place in the index, of cosine above 0."""
-        query = self.weigh(terms, counts)
-        dense = np.zeros(len(self.idf))
-        dense[terms] = query
-        limit = query @ self.peak[terms] + 1e-9  # no example of a block is above its limit
-        found: list[tuple[float, int]] = []
-        for block in np.argsort(-limit, kind="stable"):
-            if limit[block] <= 1e-9 or len(found) == k and limit[block] < -found[-1][0] - 1e-9:
-                break
-            own = slice(self.bounds[block], self.bounds[block + 1])
-            scores = np.round(np.bincount(self.example[own] - block * BLOCK, dense[self.term[own]] * self.weight[own]), 9)
-            if skip is not None:
-                scores[self.ids[block * BLOCK : block * BLOCK + len(scores)] == skip] = 0
-            least = -found[-1][0] if len(found) == k else 0.0
-            new = np.flatnonzero((scores > 0) & (scores >= least))
-            if len(new):
-                found = sorted(found + [(-s, int(block * BLOCK + e)) for s, e in zip(scores[new].tolist(), new.tolist())])[:k]
-        return [(-s, e) for s, e in found]
-
-    def vote(self, near: list[tuple[float, int]], rate: float) -> float:
+        w = (1 + np.log(counts)) * self.factor[terms]
+        return w / np.sqrt((w * w).sum()) if len(w) else w
+
+    def nearest(self, queries: list[Vector], k: int, skip: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the cosines (9 decimals) and examples: all above 0 that are at least the k-th best, ties included.
+
+        Examples are numbered as given; each query's own number in ``skip`` is left out.
+        """
+        parts = range(0, len(queries), BATCH)
+        return [x for a in parts for x in self._nearest(queries[a : a + BATCH], k, skip and skip[a : a + BATCH])]
+
+    def _nearest(self, queries: list[Vector], k: int, skip: list[int] | None) -> list[tuple[np.ndarray, np.ndarray]]:
+        n, m = len(self.labels), len(queries)
+        row = np.repeat(np.arange(m), [len(t) for t, _ in queries])
+        terms, weight = np.concatenate([t for t, _ in queries]), np.concatenate([self.weigh(*q) for q in queries])
+        column = self.column[terms]
+        wide = column >= 0
+        dense = np.zeros((m, self.columns.shape[1]))
+        dense[row[wide], column[wide]] = weight[wide]
+        row, terms, weight = row[~wide], terms[~wide], weight[~wide]
+        number = self.entry[terms + 1] - self.entry[terms]
+        at = ranges(self.entry[terms], number)
+        scores = np.bincount(np.repeat(row * n, number) + self.example[at], np.repeat(weight, number) * self.weight[at], m * n).astype(float, copy=False).reshape(m, n)
+        # No example of a block is above its limit.
+        limit = np.maximum.reduceat(scores, self.bounds[:-1], axis=1) + dense @ self.peak + 1e-8
+        first = np.zeros(limit.shape, bool)
+        np.put_along_axis(first, np.argsort(-limit, axis=1, kind="stable")[:, :FIRST_BLOCKS], True, axis=1)
+        sizes = np.diff(self.bounds)
+        self._add(scores, dense, first)
+        if skip is not None:
+            scores[np.arange(m), self.place[skip]] = -1
+        least = self._least(np.where(np.repeat(first, sizes, axis=1), scores, 0), k) - 2e-8
+        more = (limit >= least[:, None]) & ~first
+        self._add(scores, dense, more)
+        scores = np.where(np.repeat(first | more, sizes, axis=1), np.round(scores, 9), 0)
+        if skip is not None:
+            scores[np.arange(m), self.place[skip]] = 0
+        out = []
+        for own, last in zip(scores, self._least(scores, k)):
+            found = np.flatnonzero((own > 0) & (own >= last))
+            found = found[np.lexsort((self.labels[found], -own[found]))]
+            out.append((own[found], self.order[found]))
+        return out
+
+    def _add(self, scores: np.ndarray, dense: np.ndarray, chosen: np.ndarray) -> None:
+        """Adds what the columns give to the scores of the chosen blocks of each query."""
+        for block in np.flatnonzero(chosen.any(axis=0)):
+            own, a, b = np.flatnonzero(chosen[:, block]), self.bounds[block], self.bounds[block + 1]
+            scores[own, a:b] += dense[own] @ self.columns[a:b].T
+
+    @staticmethod
+    def _least(scores: np.ndarray, k: int) -> np.ndarray:
+        return np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.zeros(len(scores))
+
+    def vote(self, cosines: np.ndarray, examples: np.ndarray, rate: float) -> float:
         """Similarity-weighted share of toxic examples, with one vote of weight 0.1 for the overall rate."""
-        weights = np.array([s * s for s, _ in near] or [0.0])
-        labels = np.array([self.labels[e] for _, e in near] or [0.0])
-        return float((weights @ labels + 0.1 * rate) / (weights.sum() + 0.1))
+        weights = cosines * cosines
+        return round(float(((weights * self.labels[self.place[examples]]).sum() + 0.1 * rate) / (weights.sum() + 0.1)), 9)
 
 
 class Model:
     """The classifier: vocabulary, index, calibration and the score of texts without known terms."""
 
-    def __init__(self, vocabulary: np.ndarray, index: Index, rate: float, rate_bare: float):
-        self.vocabulary, self.index, self.rate, self.rate_bare = vocabulary, index, rate, rate_bare
+    def __init__(self, vocabulary: np.ndarray, index: Index, ids: np.ndarray, rate: float, rate_bare: float):
+        self.vocabulary, self.index, self.ids, self.rate, self.rate_bare = vocabulary, index, ids, rate, rate_bare
         self.knots = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
 
-    def raw(self, terms: np.ndarray, counts: np.ndarray, skip: int | None = None) -> tuple[float, list[tuple[float, int]]]:
-        near = self.index.nearest(terms, counts, NEIGHBOURS, skip)
-        return self.index.vote(near, self.rate), near
+    def raw(self, queries: list[Vector], skip: list[int] | None = None) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """The vote on each query, and the cosines and numbers of its nearest examples."""
+        return [(self.index.vote(*near, self.rate), *near) for near in self.index.nearest(queries, NEIGHBOURS, skip)]
 
     def calibrate(self, votes: np.ndarray, labels: np.ndarray) -> None:
         """Isotonic regression of the labels on the votes (pool adjacent violators)."""
-        order = np.argsort(votes, kind="stable")
+        order = np.lexsort((labels, votes))
         pools: list[list[float]] = []
         for v, y in zip(votes[order], labels[order]):
             pools.append([v, v, float(y), 1.0])
@@ -147,100 +196,115 @@ class Model:
         return float(np.interp(vote, *self.knots))
 
 
-def _examples(sample: DataFrame, vocabulary: np.ndarray) -> list:
+def relevance(toxic: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """The square of the relevance frequency of terms in so many toxic and other examples."""
+    return np.log2(2 + toxic / np.maximum(1, other)) ** 2
+
+
+def build(vocabulary: np.ndarray, frequency: np.ndarray, documents: int, ids: np.ndarray, labels: np.ndarray, examples: list[Vector]) -> Model:
+    """The model, not yet calibrated, of example vectors over ``vocabulary``."""
+    labels = np.asarray(labels, float)
+    rate = float(labels.mean())
+    term = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in examples)])
+    toxic = np.bincount(term, np.repeat(labels, [len(t) for t, _ in examples]), len(vocabulary))
+    factor = (np.log((documents + 1) / (frequency + 1)) + 1) * relevance(toxic, np.bincount(term, minlength=len(vocabulary)) - toxic)
+    bare = np.array([not len(t) for t, _ in examples])
+    return Model(vocabulary, Index(factor, labels, examples), ids, rate, float((labels[bare].sum() + rate) / (bare.sum() + 1)))
+
+
+def _examples(sample: DataFrame) -> list:
+    """doc_id, toxic, and the terms and counts of each example, as bytes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = strings(batch.column("text"))
             for low, high in slices(texts):
-                rows, terms, counts = vectors(Words.of(texts.slice(low, high - low), fold=True).trim(), vocabulary, high - low)
-                bounds = np.searchsorted(rows, np.arange(high - low + 1)).astype(np.int32)
-                yield pa.record_batch(
-                    [batch.column("doc_id").slice(low, high - low), batch.column("toxic").slice(low, high - low), pa.ListArray.from_arrays(bounds, pa.array(terms)), pa.ListArray.from_arrays(bounds, pa.array(counts))],
-                    ["doc_id", "toxic", "terms", "counts"],
-                )
+                rows, terms, counts = term_counts(texts.slice(low, high - low))
+                bounds = np.searchsorted(rows, np.arange(high - low + 1))
+                packed = [[x[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])] for x in (terms, counts.astype(np.int32))]
+                yield pa.record_batch([batch.column("doc_id").slice(low, high - low), batch.column("toxic").slice(low, high - low), *(pa.array(p, pa.binary()) for p in packed)], ["doc_id", "toxic", "terms", "counts"])
 
-    return sample.mapInArrow(run, "doc_id long, toxic int, terms array<long>, counts array<long>").collect()
+    return sample.mapInArrow(run, "doc_id long, toxic int, terms binary, counts binary").collect()
 
 
 def _document_counts(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
     """Over all documents: how many hold each term, and how many there are."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(len(vocabulary), np.int64), 0
+        total, n = np.zeros(len(shared.value), np.int64), 0
         for batch in batches:
             texts = strings(batch.column("text"))
             n += len(texts)
             for low, high in slices(texts):
-                _, terms, _ = vectors(Words.of(texts.slice(low, high - low), fold=True).trim(), vocabulary, high - low)
-                total += np.bincount(terms, minlength=len(vocabulary))
-        yield pa.record_batch([pa.array(np.arange(-1, len(vocabulary))), pa.array(np.concatenate([[n], total]))], ["term", "n"])
+                _, terms, _ = known_terms(texts.slice(low, high - low), shared.value)
+                total += np.bincount(terms, minlength=len(total))
+        held = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(np.append(held, -1)), pa.array(np.append(total[held], n))], ["term", "n"])
 
-    found = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    out = {r["term"]: r["n"] for r in found}
-    return np.array([out.get(k, 0) for k in range(len(vocabulary))], np.int64), out.get(-1, 0)
+    found = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    term, n = found["term"].to_numpy(), found["n"].to_numpy()
+    out = np.zeros(len(vocabulary), np.int64)
+    out[term[term >= 0]] = n[term >= 0]
+    return out, int(n[term < 0].sum())
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
-    """The classifier from the labelled rows whose remainder isn't 2."""
+def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
+    """At most ``rows`` labelled rows whose remainder isn't 2; of equal texts one."""
     picked = (
         labels.where("doc_id is not null and toxic is not null")
         .where(remainder(F.col("doc_id")) != 2)
         .groupBy("doc_id")
         .agg(F.max("toxic").cast("int").alias("toxic"))
         .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(sample_rows)
+        .limit(rows)
     )
-    sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select("doc_id", "toxic", "text")
-    # Of equal texts one counts, so that copies neither choose terms nor judge themselves.
-    sample = sample.groupBy(F.xxhash64("text").alias("_key")).agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"), F.first("text").alias("text"))
-    sample = sample.select("doc_id", "toxic", "text").cache()  # bounded; rebuilt from the tables if lost
-    try:
-        totals = sample.agg(F.count("*").alias("n"), F.sum("toxic").alias("y")).first()
-        n, y = totals["n"], totals["y"] or 0
-        if not n:
-            return None
-        counted = sample.mapInArrow(_term_rows, "term long, n long, n_toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("k"))
-        expected = F.col("n") * (y / n)
-        spread = F.greatest(expected * (1 - y / n) * (1 - F.col("n") / n), F.lit(1e-9))
-        chi = (F.col("k") - expected) * (F.col("k") - expected) / spread
-        lifted = F.col("k") > LIFT * expected
-        chosen = counted.where("n >= 5").where(lifted).withColumn("chi", chi).where(F.col("chi") > CHI_SQUARE).orderBy(F.desc("chi"), "term").limit(TERMS).collect()
-        rate = y / n
-        vocabulary = np.sort(np.array([r["term"] for r in chosen], np.int64).view(np.uint64))
-        if not len(vocabulary):
-            vocabulary = np.zeros(1, np.uint64)
-        rows = _examples(sample, vocabulary)
-    finally:
-        sample.unpersist()
+    sample = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    return sample.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic")).select("doc_id", "toxic", "text")
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_postings: int = SAMPLE_POSTINGS) -> Model | None:
+    """The classifier from the labelled rows whose remainder isn't 2.
+
+    The driver holds the terms of the sample: twelve bytes for each of ``sample_postings``.
+    """
+    examples, held = [], 0
+    for r in sorted(_examples(_sample(docs, labels, sample_rows)), key=lambda r: blake2b(str(r["doc_id"]).encode()).digest()):
+        if held + len(r["terms"]) // 8 <= sample_postings:
+            held += len(r["terms"]) // 8
+            examples.append(r)
+    if not examples:
+        return None
+    hashes = [np.frombuffer(r["terms"], np.uint64) for r in examples]
+    vocabulary = np.unique(np.concatenate(hashes))
+    vectors = [(np.searchsorted(vocabulary, h), np.frombuffer(r["counts"], np.int32)) for h, r in zip(hashes, examples)]
     frequency, documents = _document_counts(docs, vocabulary)
-    idf = np.log((documents + 1) / (frequency + 1)) + 1
-    bare = [r["toxic"] for r in rows if not r["terms"]]
-    full = sorted((r for r in rows if r["terms"]), key=lambda r: r["doc_id"])
-    model = Model(vocabulary, Index(idf, np.array([r["doc_id"] for r in full], np.int64), np.array([r["toxic"] for r in full], float), [(np.array(r["terms"]), np.array(r["counts"])) for r in full]), rate, (sum(bare) + rate) / (len(bare) + 1))
-    if full:
-        _calibrate(docs, model, full)
+    model = build(vocabulary, frequency, documents, np.array([r["doc_id"] for r in examples]), np.array([r["toxic"] for r in examples]), vectors)
+    _calibrate(docs, model, vectors)
     return model
 
 
-def _calibrate(docs: DataFrame, model: Model, rows: list) -> None:
-    """Votes of all examples, each without itself, searched in parallel."""
+def _calibrate(docs: DataFrame, model: Model, vectors: list[Vector]) -> None:
+    """Votes of all examples with terms, each without itself, searched in parallel."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast((model, vectors))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            votes = [shared.value.raw(np.array(t), np.array(c), i)[0] for i, t, c in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "terms", "counts")))]
-            yield pa.record_batch([pa.array(votes, pa.float64()), batch.column("toxic")], ["vote", "toxic"])
+            own, all_vectors = shared.value
+            found = [i for i in batch.column("id").to_pylist() if len(all_vectors[i][0])]
+            votes = [vote for vote, *_ in own.raw([all_vectors[i] for i in found], found)]
+            yield pa.record_batch([pa.array(votes, pa.float64()), pa.array(own.index.labels[own.index.place[found]] if found else [], pa.float64())], ["vote", "toxic"])
 
-    frame = spark.createDataFrame([(r["doc_id"], r["toxic"], r["terms"], r["counts"]) for r in rows], "doc_id long, toxic int, terms array<long>, counts array<long>")
-    found = frame.repartition(8).mapInArrow(run, "vote double, toxic int").toPandas().sort_values(["vote", "toxic"])
+    tasks = spark.sparkContext.defaultParallelism
+    found = spark.range(0, len(vectors), 1, tasks).mapInArrow(run, "vote double, toxic double").toArrow()
     model.calibrate(found["vote"].to_numpy(), found["toxic"].to_numpy())
 
 
-def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample_rows: int = SAMPLE_ROWS, sample_postings: int = SAMPLE_POSTINGS) -> DataFrame:
     """doc_id, held_out, score, predicted and the three nearest examples of every row of ``docs``."""
     schema = "doc_id long, score double, evidence array<long>, similarity array<double>"
-    model = fit(docs, labels, sample_rows)
+    model = fit(docs, labels, sample_rows, sample_postings)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,16 +313,16 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample_row
             texts = strings(batch.column("text"))
             out: list = [(0.0 if model is None else model.rate_bare, [], [])] * len(texts)
             for low, high in slices(texts) if model is not None else ():
-                rows, terms, counts = vectors(Words.of(texts.slice(low, high - low), fold=True).trim(), model.vocabulary, high - low)
+                rows, terms, counts = known_terms(texts.slice(low, high - low), model.vocabulary)
                 bounds = np.flatnonzero(np.diff(rows, prepend=-1, append=-1))
-                for a, b in zip(bounds[:-1], bounds[1:]):
-                    key = (terms[a:b].tobytes(), counts[a:b].tobytes())
-                    if key not in seen:
-                        if len(seen) > 50_000:
-                            seen.clear()
-                        vote, near = model.raw(terms[a:b], counts[a:b])
-                        best = near[:3]
-                        seen[key] = (model.score(vote), [int(model.index.ids[e]) for _, e in best], [s for s, _ in best])
+                if len(seen) > 50_000:
+                    seen.clear()
+                keys = [blake2b(terms[a:b].tobytes() + counts[a:b].tobytes(), digest_size=16).digest() for a, b in zip(bounds[:-1], bounds[1:])]
+                new = {key: (terms[a:b], counts[a:b]) for key, a, b in zip(keys, bounds[:-1], bounds[1:]) if key not in seen}
+                for key, (vote, cosines, examples) in zip(new, model.raw(list(new.values()))):
+                    best = sorted(zip((-cosines).tolist(), model.ids[examples].tolist()))[:3]
+                    seen[key] = (model.score(vote), [i for _, i in best], [-c for c, _ in best])
+                for a, key in zip(bounds, keys):
                     out[low + rows[a]] = seen[key]
             yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), pa.array([x[0] for x in out], pa.float64()), pa.array([x[1] for x in out], pa.list_(pa.int64())), pa.array([x[2] for x in out], pa.list_(pa.float64()))], ["doc_id", "score", "evidence", "similarity"])
 
