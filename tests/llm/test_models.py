@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import pickle
 import random
 import zlib
 from collections import Counter
@@ -289,9 +290,8 @@ def _score_by_hand(docs, labels, threshold=0.3):
         near = [n for n in near if n[0] > 0 and n[0] >= near[min(24, len(near) - 1)][0]]
         return (sum(c * c * y for c, y in near) + 0.1 * rate) / (sum(c * c for c, _ in near) + 0.1)
 
-    model = toxicity.Model(np.zeros(0, np.uint64), None, None, rate, 0.0)
     own = [(vote(v, k), y) for k, (v, y) in enumerate(held) if v]
-    model.calibrate(np.round([v for v, _ in own], 9), np.array([y for _, y in own], float))
+    model = toxicity.Calibration(np.round([v for v, _ in own], 9), np.array([y for _, y in own], float), rate)
     bare = [y for v, y in held if not v]
     return [model.score(round(vote(v), 9)) if (v := vector(bag(t))) else (sum(bare) + rate) / (len(bare) + 1) for _, t in docs]
 
@@ -317,8 +317,10 @@ def test_ids_are_no_input_of_toxicity():
 
 def test_postings_bound_the_sample(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
-    model = toxicity.fit(docs, labels, sample_postings=5000)
-    assert 0 < len(model.index.weight) + np.count_nonzero(model.index.columns) <= 5000
+    shared, _ = toxicity.fit(docs, labels, sample_postings=5000)
+    assert 0 < len(shared.value.terms) <= 5000
+    again = pickle.loads(pickle.dumps(shared.value))
+    assert all((getattr(again, n) == getattr(shared.value, n)).all() for n in ("vocabulary", "factor", "ids", "labels", "bounds", "terms", "counts"))
 
 
 def test_toxicity_odd_rows(spark):

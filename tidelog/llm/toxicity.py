@@ -25,11 +25,14 @@ ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 from hashlib import blake2b
+from zlib import compress, decompress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm.textbytes import Words, slices, strings
@@ -167,19 +170,10 @@ class Index:
         return round(float(((weights * self.labels[self.place[examples]]).sum() + 0.1 * rate) / (weights.sum() + 0.1)), 9)
 
 
-class Model:
-    """The classifier: vocabulary, index, calibration and the score of texts without known terms."""
-
-    def __init__(self, vocabulary: np.ndarray, index: Index, ids: np.ndarray, rate: float, rate_bare: float):
-        self.vocabulary, self.index, self.ids, self.rate, self.rate_bare = vocabulary, index, ids, rate, rate_bare
-        self.knots = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
-
-    def raw(self, queries: list[Vector], skip: list[int] | None = None) -> list[tuple[float, np.ndarray, np.ndarray]]:
-        """The vote on each query, and the cosines and numbers of its nearest examples."""
-        return [(self.index.vote(*near, self.rate), *near) for near in self.index.nearest(queries, NEIGHBOURS, skip)]
+class Calibration:
+    """Isotonic regression of the labels on the votes (pool adjacent violators)."""
 
-    def calibrate(self, votes: np.ndarray, labels: np.ndarray) -> None:
-        """Isotonic regression of the labels on the votes (pool adjacent violators)."""
+    def __init__(self, votes: np.ndarray, labels: np.ndarray, rate: float):
         order = np.lexsort((labels, votes))
         pools: list[list[float]] = []
         for v, y in zip(votes[order], labels[order]):
@@ -187,13 +181,45 @@ class Model:
             while len(pools) > 1 and (pools[-2][1] == pools[-1][0] or pools[-2][2] / pools[-2][3] >= pools[-1][2] / pools[-1][3]):
                 low, high = pools[-2], pools.pop()
                 pools[-1] = [low[0], high[1], low[2] + high[2], low[3] + high[3]]
-        if pools:
-            x = [v for p in pools for v in (p[0], p[1])]
-            y = [(p[2] + self.rate) / (p[3] + 1) for p in pools for _ in range(2)]
-            self.knots = (np.array(x), np.array(y))
+        self.votes = np.array([v for p in pools for v in (p[0], p[1])] or [0.0, 1.0])
+        self.rates = np.array([(p[2] + rate) / (p[3] + 1) for p in pools for _ in range(2)] or [0.0, 1.0])
 
     def score(self, vote: float) -> float:
-        return float(np.interp(vote, *self.knots))
+        return float(np.interp(vote, self.votes, self.rates))
+
+
+class Model:
+    """The vocabulary, the weight of each of its terms, and the examples: flat terms and counts with bounds.
+
+    The index is built where it is used; only the examples travel, compressed.
+    """
+
+    def __init__(self, vocabulary: np.ndarray, factor: np.ndarray, ids: np.ndarray, labels: np.ndarray, bounds: np.ndarray, terms: np.ndarray, counts: np.ndarray):
+        self.vocabulary, self.factor, self.ids, self.labels = vocabulary, factor, ids, np.asarray(labels, float)
+        self.bounds, self.terms, self.counts = bounds, terms.astype(np.int32, copy=False), counts.astype(np.int32, copy=False)
+        self.rate = float(self.labels.mean())
+        bare = np.diff(bounds) == 0
+        self.rate_bare = float((self.labels[bare].sum() + self.rate) / (bare.sum() + 1))
+
+    def __getstate__(self) -> tuple:
+        packed = [(compress(x.tobytes(), 1), x.dtype.str) for x in (np.diff(self.vocabulary, prepend=np.uint64(0)), self.factor, self.ids, self.labels, self.bounds, np.diff(self.terms, prepend=0).astype(np.int32), self.counts)]
+        return tuple(packed)
+
+    def __setstate__(self, state: tuple) -> None:
+        vocabulary, factor, ids, labels, bounds, terms, counts = (np.frombuffer(decompress(x), kind) for x, kind in state)
+        self.__init__(np.cumsum(vocabulary, dtype=np.uint64), factor, ids, labels, bounds, np.cumsum(terms, dtype=np.int32), counts)
+
+    def example(self, i: int) -> Vector:
+        own = slice(self.bounds[i], self.bounds[i + 1])
+        return self.terms[own].astype(np.int64), self.counts[own]
+
+    @cached_property
+    def index(self) -> Index:
+        return Index(self.factor, self.labels, [self.example(i) for i in range(len(self.labels))])
+
+    def raw(self, queries: list[Vector], skip: list[int] | None = None) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """The vote on each query, and the cosines and numbers of its nearest examples."""
+        return [(self.index.vote(*near, self.rate), *near) for near in self.index.nearest(queries, NEIGHBOURS, skip)]
 
 
 def relevance(toxic: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -202,14 +228,12 @@ def relevance(toxic: np.ndarray, other: np.ndarray) -> np.ndarray:
 
 
 def build(vocabulary: np.ndarray, frequency: np.ndarray, documents: int, ids: np.ndarray, labels: np.ndarray, examples: list[Vector]) -> Model:
-    """The model, not yet calibrated, of example vectors over ``vocabulary``."""
-    labels = np.asarray(labels, float)
-    rate = float(labels.mean())
-    term = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in examples)])
-    toxic = np.bincount(term, np.repeat(labels, [len(t) for t, _ in examples]), len(vocabulary))
-    factor = (np.log((documents + 1) / (frequency + 1)) + 1) * relevance(toxic, np.bincount(term, minlength=len(vocabulary)) - toxic)
-    bare = np.array([not len(t) for t, _ in examples])
-    return Model(vocabulary, Index(factor, labels, examples), ids, rate, float((labels[bare].sum() + rate) / (bare.sum() + 1)))
+    """The model of example vectors over ``vocabulary``, whose terms ``frequency`` of all documents hold."""
+    labels, sizes = np.asarray(labels, float), [len(t) for t, _ in examples]
+    terms, counts = (np.concatenate([np.zeros(0, np.int32), *x]).astype(np.int32) for x in zip(*examples))
+    toxic = np.bincount(terms, np.repeat(labels, sizes), len(vocabulary))
+    factor = (np.log((documents + 1) / (frequency + 1)) + 1) * relevance(toxic, np.bincount(terms, minlength=len(vocabulary)) - toxic)
+    return Model(vocabulary, factor, ids, labels, np.concatenate([[0], np.cumsum(sizes)]), terms, counts)
 
 
 def _examples(sample: DataFrame) -> list:
@@ -263,8 +287,8 @@ def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     return sample.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic")).select("doc_id", "toxic", "text")
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_postings: int = SAMPLE_POSTINGS) -> Model | None:
-    """The classifier from the labelled rows whose remainder isn't 2.
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_postings: int = SAMPLE_POSTINGS) -> tuple[Broadcast, Calibration] | None:
+    """The classifier from the labelled rows whose remainder isn't 2: the model, on all executors, and its calibration.
 
     The driver holds the terms of the sample: twelve bytes for each of ``sample_postings``.
     """
@@ -277,38 +301,33 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, samp
         return None
     hashes = [np.frombuffer(r["terms"], np.uint64) for r in examples]
     vocabulary = np.unique(np.concatenate(hashes))
-    vectors = [(np.searchsorted(vocabulary, h), np.frombuffer(r["counts"], np.int32)) for h, r in zip(hashes, examples)]
-    frequency, documents = _document_counts(docs, vocabulary)
-    model = build(vocabulary, frequency, documents, np.array([r["doc_id"] for r in examples]), np.array([r["toxic"] for r in examples]), vectors)
-    _calibrate(docs, model, vectors)
-    return model
+    vectors = [(np.searchsorted(vocabulary, h).astype(np.int32), np.frombuffer(r["counts"], np.int32)) for h, r in zip(hashes, examples)]
+    model = build(vocabulary, *_document_counts(docs, vocabulary), np.array([r["doc_id"] for r in examples]), np.array([r["toxic"] for r in examples]), vectors)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return shared, _calibrate(docs.sparkSession, shared, len(examples), model.rate)
 
 
-def _calibrate(docs: DataFrame, model: Model, vectors: list[Vector]) -> None:
-    """Votes of all examples with terms, each without itself, searched in parallel."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model, vectors))
+def _calibrate(spark: SparkSession, shared: Broadcast, examples: int, rate: float) -> Calibration:
+    """From the votes of all examples with terms, each without itself, searched in parallel."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
         for batch in batches:
-            own, all_vectors = shared.value
-            found = [i for i in batch.column("id").to_pylist() if len(all_vectors[i][0])]
-            votes = [vote for vote, *_ in own.raw([all_vectors[i] for i in found], found)]
-            yield pa.record_batch([pa.array(votes, pa.float64()), pa.array(own.index.labels[own.index.place[found]] if found else [], pa.float64())], ["vote", "toxic"])
+            found = [i for i in batch.column("id").to_pylist() if model.bounds[i] < model.bounds[i + 1]]
+            votes = [vote for vote, *_ in model.raw([model.example(i) for i in found], found)]
+            yield pa.record_batch([pa.array(votes, pa.float64()), pa.array(model.labels[found] if found else [], pa.float64())], ["vote", "toxic"])
 
-    tasks = spark.sparkContext.defaultParallelism
-    found = spark.range(0, len(vectors), 1, tasks).mapInArrow(run, "vote double, toxic double").toArrow()
-    model.calibrate(found["vote"].to_numpy(), found["toxic"].to_numpy())
+    found = spark.range(0, examples, 1, spark.sparkContext.defaultParallelism).mapInArrow(run, "vote double, toxic double").toArrow()
+    return Calibration(found["vote"].to_numpy(), found["toxic"].to_numpy(), rate)
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample_rows: int = SAMPLE_ROWS, sample_postings: int = SAMPLE_POSTINGS) -> DataFrame:
     """doc_id, held_out, score, predicted and the three nearest examples of every row of ``docs``."""
     schema = "doc_id long, score double, evidence array<long>, similarity array<double>"
-    model = fit(docs, labels, sample_rows, sample_postings)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    fitted = fit(docs, labels, sample_rows, sample_postings)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, seen = shared.value, {}
+        model, calibration, seen = (fitted[0].value, fitted[1], {}) if fitted else (None, None, {})
         for batch in batches:
             texts = strings(batch.column("text"))
             out: list = [(0.0 if model is None else model.rate_bare, [], [])] * len(texts)
@@ -321,7 +340,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample_row
                 new = {key: (terms[a:b], counts[a:b]) for key, a, b in zip(keys, bounds[:-1], bounds[1:]) if key not in seen}
                 for key, (vote, cosines, examples) in zip(new, model.raw(list(new.values()))):
                     best = sorted(zip((-cosines).tolist(), model.ids[examples].tolist()))[:3]
-                    seen[key] = (model.score(vote), [i for _, i in best], [-c for c, _ in best])
+                    seen[key] = (calibration.score(vote), [i for _, i in best], [-c for c, _ in best])
                 for a, key in zip(bounds, keys):
                     out[low + rows[a]] = seen[key]
             yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), pa.array([x[0] for x in out], pa.float64()), pa.array([x[1] for x in out], pa.list_(pa.int64())), pa.array([x[2] for x in out], pa.list_(pa.float64()))], ["doc_id", "score", "evidence", "similarity"])
