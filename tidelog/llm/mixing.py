@@ -2,14 +2,17 @@
 
 Sizes are summed by source; targets follow the weights, up to a limit of repetition; the rate of
 a source is target / size.  Each document is emitted floor(rate) times, and once more by a
-hash-seeded Bernoulli draw whose probability is the fraction of the rate.  The draw compares the
-document's hash with a threshold.  The threshold is the fraction itself, moved to the border of
-hash buckets at which the words taken come nearest to the target (a histogram by source and
-bucket), because a few long documents would else decide what a small source gives.
+hash-seeded draw whose probability is the fraction of the rate.  The draws of a source are
+stratified: its documents are ordered by size class and, inside a class, by hash; from a
+hash-seeded offset on, each passes if the running sum of the fraction crosses an integer there.
+So every document is drawn with the probability of the fraction, and the words taken come near
+the target also where a few long documents decide: neighbours in the order are of like size.
 
 Cases: a null text has size 0; a null source is a source of its own, ordered last; rows with
-equal doc_id and text decide alike; a source or corpus without words takes nothing; an empty
-table gives an empty result; extra columns stay in :func:`mix` and are ignored by :func:`plan`.
+equal doc_id, text and source are one draw and decide alike; ties of hashes go by doc_id and text;
+texts of any length count whole; a source or corpus without words takes nothing; an empty table
+gives an empty result; extra columns, whatever their names, stay in :func:`mix` and are ignored
+by :func:`plan`.
 """
 
 from __future__ import annotations
@@ -24,7 +27,9 @@ from tidelog.llm.shared import cut, small_batches
 from tidelog.llm.textbytes import word_counts
 
 WEIGHTS = (5.0, 2.0, 1.0)
-BUCKETS = 4096
+#: Draws are integers of so many bits; those with the same first twelve are ranked together.
+BITS = 28
+RANKED = 12
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,46 +69,74 @@ def targets(totals: DataFrame, share: float = 1.5, most: float = 2.0, weights: t
     return limits.select("source", "source_size", target.alias("target"))
 
 
-def bucket(seed: int) -> Column:
-    """Twelve bits of a hash of the document's id, its text and the seed."""
-    key = F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text_key", F.lit(str(seed)))
-    return F.conv(F.substring(F.md5(key), 1, 3), 16, 10).cast("int")
+def _number(key: Column) -> Column:
+    """The first BITS bits of the MD5 of a string."""
+    return F.conv(F.substring(F.md5(key), 1, BITS // 4), 16, 10).cast("long")
 
 
 def text_key() -> Column:
     return F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
-def plan(docs: DataFrame, seed: int = 42, share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """doc_id, size, source, source_size, target, rate, copies and taken of every row of ``docs``."""
+def _class(size: Column) -> Column:
+    """Sizes in classes an eighth wide at most, in order: binary length and leading digits."""
+    digits = F.bin(size)
+    return F.concat(F.lpad(F.length(digits).cast("string"), 2, "0"), F.substring(F.rpad(digits, 4, "0"), 1, 4))
+
+
+def _equal(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
+    same = [left[n].eqNullSafe(right[n]) for n in names]
+    return same[0] & same[1] & same[2] if len(same) == 3 else same[0]
+
+
+KEY = ["doc_id", "source", "text_key"]
+
+
+def draws(sized: DataFrame, seed: int, share: float, most: float) -> DataFrame:
+    """The copies of each distinct (doc_id, source, text_key), with the source's size, target and rate.
+
+    Ranks along a source come from a running count of classes and hash buckets, and a window inside
+    each bucket; no task sees a whole source.
+    """
+    key = F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text_key", F.lit(str(seed)))
+    keys = sized.groupBy(*KEY).agg(F.first("size").alias("size"), F.count("*").alias("rows"))
+    keys = keys.withColumn("class", _class(F.col("size") * F.col("rows"))).withColumn("draw", _number(key))
+    keys = cut(keys.withColumn("bucket", F.shiftright("draw", BITS - RANKED).cast("int")), "mixing-keys")
+    histogram = keys.groupBy("source", "class", "bucket").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("source").orderBy("class", "bucket").rowsBetween(Window.unboundedPreceding, -1)
+    histogram = histogram.select("source", "class", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    inside = F.row_number().over(Window.partitionBy("source", "class", "bucket").orderBy("draw", "doc_id", "text_key")) - 1
+    ranked = keys.withColumn("inside", inside)
+    ranked = ranked.join(histogram, _equal(ranked, histogram, ["source", "class", "bucket"])).select(*(ranked[c] for c in KEY), (F.col("inside") + F.col("base")).alias("rank"))
+    aims = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), share, most)
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    aims = aims.withColumn("rate", rate).withColumn("fraction", F.floor((F.col("rate") - F.floor("rate")) * float(1 << BITS)).cast("long"))
+    aims = cut(aims.withColumn("offset", _number(F.concat_ws("/", F.coalesce("source", F.lit("")), F.lit(str(seed))))), "mixing-targets")  # a row per source
+    crossed = lambda rank: F.shiftright(F.col("fraction") * rank + F.col("offset"), BITS)
+    copies = F.floor("rate") + crossed(F.col("rank") + 1) - crossed(F.col("rank"))
+    copies = F.least(copies.cast("long"), F.lit(int(most)))
+    return ranked.join(aims, _equal(ranked, aims, ["source"])).select(*(ranked[c] for c in KEY), "source_size", F.col("target").cast("double"), "rate", copies.alias("copies"))
+
+
+def _sized(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), text_key().alias("text_key"), "text")
-    sized = cut(rows.mapInArrow(_sizes, "doc_id long, source string, text_key string, size long").withColumn("bucket", bucket(seed)), "mixing-sizes")
-    histogram = cut(sized.groupBy("source", "bucket").agg(F.sum("size").alias("size")), "mixing-histogram")  # at most BUCKETS rows per source
-    totals = histogram.groupBy("source").agg(F.sum("size").alias("source_size"))
-    aims = targets(totals, share, most)
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    aims = aims.withColumn("rate", rate).withColumn("fraction", F.col("rate") - F.floor("rate"))
-    same = F.col("a.source").eqNullSafe(F.col("b.source"))
-    wish = (F.col("fraction") * F.col("source_size")).alias("wish")
-    running = F.sum("b.size").over(Window.partitionBy("b.source").orderBy("b.bucket"))
-    borders = histogram.alias("b").join(aims.alias("a"), same).select("a.source", "b.bucket", running.alias("words"), wish, "a.fraction")
-    none = aims.select("source", F.lit(-1).alias("bucket"), F.lit(0).alias("words"), wish, "fraction")
-    distance = F.struct(F.abs(F.col("words") - F.col("wish")), F.abs((F.col("bucket") + 1) / float(BUCKETS) - F.col("fraction")), "bucket")
-    borders = borders.unionByName(none).groupBy("source").agg(F.min_by("bucket", distance).alias("border"))
-    aims = aims.join(borders.withColumnRenamed("source", "border_source"), F.col("source").eqNullSafe(F.col("border_source"))).drop("border_source")
-    aims = cut(aims.withColumnRenamed("source", "aim_source"), "mixing-targets")  # a row per source
-    out = sized.join(aims, F.col("source").eqNullSafe(F.col("aim_source")), "left")
-    copies = (F.floor("rate") + F.when(F.col("bucket") <= F.col("border"), 1).otherwise(0)).cast("long")
-    copies = F.least(copies, F.lit(int(most)))
-    return out.select("doc_id", "text_key", "source", "size", "source_size", F.col("target").cast("double"), "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    schema = rows.drop("text").schema.add("size", "long")
+    return cut(rows.mapInArrow(_sizes, schema), "mixing-sizes")
+
+
+def plan(docs: DataFrame, seed: int = 42, share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """doc_id, size, source, source_size, target, rate, copies and taken of every row of ``docs``."""
+    sized = _sized(docs)
+    drawn = draws(sized, seed, share, most)
+    out = sized.join(drawn, _equal(sized, drawn, KEY))
+    return out.select(sized["doc_id"], sized["text_key"], sized["source"], "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mix(docs: DataFrame, seed: int = 42, share: float = 1.5, most: float = 2.0) -> DataFrame:
     """The mixed corpus: each row of ``docs`` as often as planned, with the columns of ``docs``."""
-    planned = plan(docs, seed, share, most).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "source", F.col("copies").alias("_copies"))
-    planned = planned.withColumnRenamed("source", "_source").distinct()
-    rows = docs.withColumn("_own", text_key())
-    same = (F.col("doc_id").eqNullSafe(F.col("_id"))) & (F.col("_own") == F.col("_key")) & F.col("source").cast("string").eqNullSafe(F.col("_source"))
-    joined = rows.join(planned, same)
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.greatest("_copies", F.lit(1))))).where("_copies > 0").select(docs.columns)
+    drawn = draws(_sized(docs), seed, share, most).where("copies > 0")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), text_key().alias("text_key"), row)
+    joined = rows.join(drawn, _equal(rows, drawn, KEY)).select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return joined.select("row.*")

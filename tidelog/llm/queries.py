@@ -55,7 +55,7 @@ def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resharding.reshard(table(spark, sf_dir, "documents"))
+    return resharding.move(table(spark, sf_dir, "documents"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,20 +115,21 @@ r AS (SELECT doc_id, doc_id AS reach FROM n UNION SELECT r.doc_id, both_ways.b F
 SELECT doc_id, cast(n AS bigint) AS n_shingles, min(reach) AS component_id FROM r JOIN n USING (doc_id) GROUP BY doc_id, n"""
 
 _MIXING = rf"""
-WITH d AS (SELECT doc_id, source, len({_WORDS}) AS size, cast('0x' || substr(md5(doc_id || '/' || md5(coalesce(text, '')) || '/42'), 1, 3) AS integer) AS bucket FROM documents),
+WITH d AS (SELECT doc_id, source, len({_WORDS}) AS size, md5(coalesce(text, '')) AS key FROM documents),
 t AS (SELECT source, sum(size) AS source_size, [5.0::double, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM d GROUP BY source),
 u AS (SELECT *, 2.0::double * source_size AS cap FROM t),
 v AS (SELECT *, (1.5::double * sum(source_size) OVER () - coalesce(sum(cap) OVER q, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER q, 0)) AS level FROM u
       WINDOW q AS (ORDER BY cap / weight, weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 x AS (SELECT *, (SELECT arg_min(level, cap / weight) FROM v WHERE cap / weight >= level) AS common FROM v),
 a AS (SELECT source, source_size, CASE WHEN cap / weight < level THEN cap ELSE least(cap, weight * common) END AS target FROM x),
-f AS (SELECT *, target / source_size AS rate, target / source_size - floor(target / source_size) AS fraction FROM a),
-h AS (SELECT source, bucket, sum(sum(size)) OVER (PARTITION BY source ORDER BY bucket) AS words FROM d GROUP BY source, bucket),
-b AS (SELECT source, arg_min(bucket, row(abs(words - fraction * source_size), abs((bucket + 1) / 4096.0::double - fraction), bucket)) AS border
-      FROM (SELECT * FROM h UNION ALL SELECT source, -1, 0 FROM f) JOIN f USING (source) GROUP BY source)
-SELECT doc_id, cast(size AS bigint) AS size, cast(source_size AS bigint) AS source_size, target,
- cast(size * least(floor(rate) + cast(bucket <= border AS integer), 2) AS bigint) AS taken, cast(least(floor(rate) + cast(bucket <= border AS integer), 2) AS bigint) AS copies
-FROM d JOIN f USING (source) JOIN b USING (source)"""
+f AS (SELECT *, target / source_size AS rate, cast(floor((target / source_size - floor(target / source_size)) * 268435456.0::double) AS bigint) AS fraction,
+      cast('0x' || substr(md5(source || '/42'), 1, 7) AS bigint) AS start FROM a),
+k AS (SELECT doc_id, source, key, any_value(size) * count(*) AS size, cast('0x' || substr(md5(doc_id || '/' || key || '/42'), 1, 7) AS bigint) AS draw FROM d GROUP BY doc_id, source, key),
+r AS (SELECT doc_id, source, key, row_number() OVER (PARTITION BY source
+      ORDER BY lpad(cast(length(bin(size)) AS varchar), 2, '0') || substr(rpad(bin(size), 4, '0'), 1, 4), draw, doc_id, key) - 1 AS place FROM k),
+c AS (SELECT doc_id, source, key, source_size, target, least(cast(floor(rate) AS bigint) + ((fraction * (place + 1) + start) >> 28) - ((fraction * place + start) >> 28), 2) AS copies FROM r JOIN f USING (source))
+SELECT doc_id, cast(size AS bigint) AS size, cast(source_size AS bigint) AS source_size, target, cast(size * copies AS bigint) AS taken, cast(copies AS bigint) AS copies
+FROM d JOIN c USING (doc_id, source, key)"""
 
 
 def oracle_sql() -> dict[str, str]:
