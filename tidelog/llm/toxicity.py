@@ -96,15 +96,15 @@ class Index:
         self.order = np.array(sorted(range(len(examples)), key=keys.__getitem__), np.int64)
         self.labels = np.asarray(labels, float)[self.order]
         self.place = np.argsort(self.order)
-        self.bounds = np.append(np.arange(0, len(examples), BLOCK), len(examples))
+        blocks = -(-len(examples) // BLOCK)
         example, weight = np.repeat(self.place, sizes), np.concatenate([np.zeros(0), *weighted])
         often = np.flatnonzero(spread >= max(2.0, OFTEN * len(examples)))
         self.column = np.full(len(factor), -1, np.int32)
         self.column[often] = np.arange(len(often))
         wide = self.column[term] >= 0
-        self.columns = np.zeros((len(examples), len(often)))
+        self.columns = np.zeros((blocks * BLOCK, len(often)))  # the last rows may stand for no example
         self.columns[example[wide], self.column[term[wide]]] = weight[wide]
-        self.peak = np.maximum.reduceat(self.columns, self.bounds[:-1], axis=0).T.copy()
+        self.peak = self.columns.reshape(blocks, BLOCK, len(often)).max(axis=1).T.copy()
         by = np.lexsort((example[~wide], term[~wide]))
         self.example, self.weight = example[~wide][by].astype(np.int32), weight[~wide][by]
         self.entry = np.concatenate([[0], np.cumsum(np.bincount(term[~wide], minlength=len(factor)))])
@@ -122,47 +122,49 @@ class Index:
         return [x for a in parts for x in self._nearest(queries[a : a + BATCH], k, skip and skip[a : a + BATCH])]
 
     def _nearest(self, queries: list[Vector], k: int, skip: list[int] | None) -> list[tuple[np.ndarray, np.ndarray]]:
-        n, m = len(self.labels), len(queries)
+        n, m = len(self.columns), len(queries)
         row = np.repeat(np.arange(m), [len(t) for t, _ in queries])
         terms, weight = np.concatenate([t for t, _ in queries]), np.concatenate([self.weigh(*q) for q in queries])
         column = self.column[terms]
         wide = column >= 0
         dense = np.zeros((m, self.columns.shape[1]))
         dense[row[wide], column[wide]] = weight[wide]
-        row, terms, weight = row[~wide], terms[~wide], weight[~wide]
-        number = self.entry[terms + 1] - self.entry[terms]
-        at = ranges(self.entry[terms], number)
-        scores = np.bincount(np.repeat(row * n, number) + self.example[at], np.repeat(weight, number) * self.weight[at], m * n).astype(float, copy=False).reshape(m, n)
+        scores = np.empty((m, n))
+        bounds = np.searchsorted(row[~wide], np.arange(m + 1))
+        terms, weight = terms[~wide], weight[~wide]
+        for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):  # a row at a time stays in the processor's cache
+            number = self.entry[terms[a:b] + 1] - self.entry[terms[a:b]]
+            at = ranges(self.entry[terms[a:b]], number)
+            scores[i] = np.bincount(self.example[at], np.repeat(weight[a:b], number) * self.weight[at], n)
+        scores = scores.reshape(m, -1, BLOCK)
+        if skip is not None:
+            scores.reshape(m, n)[np.arange(m), self.place[skip]] = -2  # and a cosine is at most 1
         # No example of a block is above its limit.
-        limit = np.maximum.reduceat(scores, self.bounds[:-1], axis=1) + dense @ self.peak + 1e-8
+        limit = scores.max(axis=2) + dense @ self.peak + 1e-8
+        best = np.argpartition(-limit, min(FIRST_BLOCKS, limit.shape[1] - 1), axis=1)[:, :FIRST_BLOCKS]
         first = np.zeros(limit.shape, bool)
-        np.put_along_axis(first, np.argsort(-limit, axis=1, kind="stable")[:, :FIRST_BLOCKS], True, axis=1)
-        sizes = np.diff(self.bounds)
+        np.put_along_axis(first, best, True, axis=1)
         self._add(scores, dense, first)
-        if skip is not None:
-            scores[np.arange(m), self.place[skip]] = -1
-        least = self._least(np.where(np.repeat(first, sizes, axis=1), scores, 0), k) - 2e-8
-        more = (limit >= least[:, None]) & ~first
-        self._add(scores, dense, more)
-        scores = np.where(np.repeat(first | more, sizes, axis=1), np.round(scores, 9), 0)
-        if skip is not None:
-            scores[np.arange(m), self.place[skip]] = 0
+        seen = np.take_along_axis(scores, best[:, :, None], axis=1).reshape(m, -1)
+        least = np.maximum(np.partition(seen, -k, axis=1)[:, -k] if seen.shape[1] > k else np.zeros(m), 0) - 2e-8
+        self._add(scores, dense, (limit >= least[:, None]) & ~first)
+        # What is left out of a block that wasn't scored keeps it below its limit, and so below ``least``.
+        rows, found = np.nonzero(scores.reshape(m, n) >= np.maximum(least, 1e-10)[:, None])
+        cosines = np.round(scores.reshape(m, n)[rows, found], 9)
         out = []
-        for own, last in zip(scores, self._least(scores, k)):
-            found = np.flatnonzero((own > 0) & (own >= last))
-            found = found[np.lexsort((self.labels[found], -own[found]))]
-            out.append((own[found], self.order[found]))
+        for a, b in zip(*(np.searchsorted(rows, np.arange(m), side) for side in ("left", "right"))):
+            own, place = cosines[a:b], found[a:b]
+            keep = (own > 0) & (own >= (np.partition(own, -k)[-k] if len(own) > k else 0))
+            own, place = own[keep], place[keep]
+            order = np.lexsort((self.labels[place], -own))
+            out.append((own[order], self.order[place[order]]))
         return out
 
     def _add(self, scores: np.ndarray, dense: np.ndarray, chosen: np.ndarray) -> None:
         """Adds what the columns give to the scores of the chosen blocks of each query."""
         for block in np.flatnonzero(chosen.any(axis=0)):
-            own, a, b = np.flatnonzero(chosen[:, block]), self.bounds[block], self.bounds[block + 1]
-            scores[own, a:b] += dense[own] @ self.columns[a:b].T
-
-    @staticmethod
-    def _least(scores: np.ndarray, k: int) -> np.ndarray:
-        return np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.zeros(len(scores))
+            own = np.flatnonzero(chosen[:, block])
+            scores[own, block] += dense[own] @ self.columns[block * BLOCK : (block + 1) * BLOCK].T
 
     def vote(self, cosines: np.ndarray, examples: np.ndarray, rate: float) -> float:
         """Similarity-weighted share of toxic examples, with one vote of weight 0.1 for the overall rate."""
