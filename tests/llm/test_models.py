@@ -112,12 +112,6 @@ def test_slots_must_agree(spark):
     assert {r["doc_id"]: r["leaked"] for r in decontam.find(docs, items).collect()} == {1: False, 2: True}
 
 
-def test_chunks_give_the_same_leaks(spark):
-    docs, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
-    assert sorted(map(str, decontam.find(docs, items, windows=100).collect())) == sorted(map(str, decontam.find(docs, items).collect()))
-    assert len(decontam.chunks(items, 100)) > 5
-
-
 def test_decontamination_odd_rows(spark):
     items = spark.createDataFrame([(1, "one two three"), (1, "one two three"), (None, "x")], "item_id long, text string")
     got = {r["doc_id"]: r["items"] for r in decontam.find(frame(spark), items).collect()}
