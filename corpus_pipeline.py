@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidelog.llm import decontam, langid, mixing, ngram_join, tokenfiles
 from tidelog.llm.shared import cut, table
@@ -30,8 +29,7 @@ def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that leak a benchmark item."""
-    found = decontam.find(docs, table(spark, sf_dir, "benchmark"), carry=True)
-    return found.where(~F.col("leaked")).select("row.*")
+    return decontam.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
