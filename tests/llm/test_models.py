@@ -4,6 +4,8 @@ import datetime as dt
 import math
 import pickle
 import random
+import re
+import time
 import zlib
 from collections import Counter
 
@@ -12,6 +14,7 @@ import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tests.llm.cases import empty, frame, rows
 from tidelog.llm import decontam, langid, pii, queries, toxicity
@@ -112,6 +115,80 @@ def test_slots_must_agree(spark):
     assert {r["doc_id"]: r["leaked"] for r in decontam.find(docs, items).collect()} == {1: False, 2: True}
 
 
+def _plain_windows(text, kind):
+    """Distinct windows of a variant as word tuples with placeholders, by regular expressions."""
+    mark = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+    lower = lambda w: "".join(c.lower() if c < "\x80" else c for c in w)
+    out, before, number_before = [], None, False
+    for m in re.finditer(r"[^\x20\x09-\x0D]+", text):
+        raw = m[0]
+        word = raw.strip(mark) or raw
+        opens = before is None or before[0][-1] in ".!?:" or "\n" in text[before[1] : m.start()]
+        number = re.fullmatch(r"[0-9.,:/+%$-]*[0-9][0-9.,:/+%$-]*", word) or (n := re.fullmatch(r"[0-9][0-9.,:/+%$-]*([^0-9.,:/+%$-].*)", word)) and lower(n[1]) in decontam.UNITS
+        capital = "A" <= word[0] <= "Z" and not number
+        token = lower(word)
+        if kind and number:
+            token = 1
+        elif kind and capital and (kind == decontam.WIDE or not opens):
+            token = 2
+        elif kind and number_before and not opens and token in decontam.UNITS:
+            token = 3
+        out.append(token)
+        before, number_before = (raw, m.end()), bool(number)
+    windows = [tuple(out[i : i + 5]) for i in range(len(out) - 4)]
+    tells = [w for w in windows if sum(isinstance(x, str) for x in w) >= 2]
+    return set(tells) if 2 * len(tells) >= len(windows) else set(), set(windows)
+
+
+def test_leaks_by_hand(spark):
+    """Every document with every item; templates that cover enough but disagree may differ only in slots."""
+    docs = [(d["doc_id"], d["text"]) for d in pq.read_table("/root/testdata/sf0.001/documents.parquet").to_pylist()]
+    items = [(i["item_id"], i["text"]) for i in pq.read_table("/root/testdata/sf0.001/benchmark.parquet").to_pylist()]
+    rng = random.Random(2)
+    for k, (item, text) in enumerate(items[:40]):  # parts of items, with other numbers and cases
+        words = text.split()
+        cut = words[: int(len(words) * rng.choice([0.6, 0.74, 0.8, 0.9]))]
+        docs.append((90_000 + k, "start here " + " ".join(w.upper() if k % 2 else w for w in cut) + " and so on"))
+    got = {r["doc_id"]: set(r["items"]) for r in decontam.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    own = {(i, kind): _plain_windows(t, kind) for i, t in items for kind in range(3)}
+    for d, text in docs:
+        held = [_plain_windows(text or "", kind)[1] for kind in range(3)]
+        covers = lambda i, k: own[i, k][0] and len(own[i, k][0] & held[k]) >= 0.75 * len(own[i, k][0])
+        must = {i for i, _ in items if covers(i, decontam.LITERAL)}
+        assert must <= got[d] <= {i for i, _ in items if any(covers(i, k) for k in range(3))}
+    assert sum(bool(got[90_000 + k]) for k in range(40)) >= 10
+
+
+@pytest.mark.parametrize(
+    "item, text, leaked",
+    [
+        ("what is two plus", "so what is two plus, he said", True),  # short items are windows of their own width
+        ("what is two plus", "what is two or plus", False),
+        ("yes", "yes it is", False),
+        ("yes", "Yes!", True),
+        ("Natalia sold 48 clips. Natalia then sold 24 more than before to her friends.", "Maria sold 30 clips. Maria then sold 17 more than before to her friends.", True),
+        ("Ann met Bob near the River Thames at noon and Ann gave Bob a red book", "ann met bob near the river thames at noon and ann gave bob a red book", True),
+        ("the parcel weighs 5kg and the crate weighs 7kg so how much is both", "the parcel weighs 9kg and the crate weighs 8kg so how much is both", True),
+        ("so 1 and then 2 but 1 not 2 while 1 or 2 is more than 1 less 2", "so 6 and then 6 but 6 not 6 while 6 or 6 is more than 6 less 6", False),  # one value for two
+        ("1 2 3 4 5 6 7 8 9", "7 7 1 3 3 5 4 4 2", False),  # a template of slots tells nothing
+        ("1 2 3 4 5 6 7 8 9", "see 1 2 3 4 5 6 7 8 9", True),
+    ],
+)
+def test_variants(spark, item, text, leaked):
+    docs = spark.createDataFrame([(1, text), (2, text), (3, "something else that is long enough to have windows")], "doc_id long, text string")
+    got = {r["doc_id"]: r["leaked"] for r in decontam.find(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()}
+    assert got == {1: leaked, 2: leaked, 3: False}
+    kept = decontam.without_leaks(docs.withColumns({"k1": F.lit(1), "a.b": F.lit(2), "row": F.lit(3)}), spark.createDataFrame([(7, item)], "item_id long, text string"))
+    assert kept.columns == ["doc_id", "text", "k1", "a.b", "row"] and kept.count() == (1 if leaked else 3)
+
+
+def test_tables_of_numbers_are_aligned_in_linear_time():
+    places = np.arange(200_000, dtype=np.int32)
+    side = places, np.zeros(len(places), np.uint64), np.ones((len(places), 5), np.uint64)
+    start = time.time()
+    assert decontam.agreement(side, side) == 1.0 and time.time() - start < 20
+
+
 def test_decontamination_odd_rows(spark):
     items = spark.createDataFrame([(1, "one two three"), (1, "one two three"), (None, "x")], "item_id long, text string")
     got = {r["doc_id"]: r["items"] for r in decontam.find(frame(spark), items).collect()}
