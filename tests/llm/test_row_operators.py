@@ -116,10 +116,47 @@ def test_quality_method(spark):
     docs = [(i, f"{bar.upper() if i % 2 else bar}\n{prose(i)}", "a") for i in range(40)]
     docs += [(100 + i, f"{bar}\n" * 3 + f"own{i} words", "a") for i in range(3)]
     docs += [(200 + i, f"{prose('copy')}", "b") for i in range(60)]
-    got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()}
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in quality.judge(df, per="texts").collect()}
     assert all(got[i]["kept"] and got[i]["n_removed_lines"] == 1 for i in range(40))
     assert not any(got[100 + i]["kept"] for i in range(3))
-    assert all(got[200 + i]["kept"] and got[200 + i]["n_removed_words"] == 0 for i in range(60))
+    assert all(got[200 + i]["kept"] and got[200 + i]["n_removed_words"] == 0 for i in range(60))  # copies of a text count once
+    by_documents = {r["doc_id"]: r["kept"] for r in quality.judge(df).collect()}
+    assert by_documents == {i: i < 100 for i in by_documents}
+    cleaned = {r["doc_id"]: r["text"] for r in quality.clean(df, per="texts").collect()}
+    assert cleaned == {i: docs[i][1].split("\n")[1] for i in range(40)} | {i: t for i, t, _ in docs[43:]}
+
+
+def test_lines_above_the_absolute_limit_go(spark):
+    words = lambda i: " ".join(f"w{i}x{j}" for j in range(12))
+    docs = [(i, words(i) + ("\nfooter of a few" if i % 10 == 0 else ""), "a") for i in range(500)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    lost = lambda **limits: sum(r["n_removed_lines"] for r in quality.judge(df, **limits).collect())
+    assert lost(share=0.2) == 0 and lost(share=0.2, max_docs=49) == 50 == lost(share=0.09)
+
+
+def test_clean_texts_by_hand(spark):
+    """Texts rebuilt without the lines that over three documents of their host hold, on whole tables."""
+    docs = documents("/root/testdata/sf0.01")
+    norm = lambda line: " ".join(WORD.findall(line.lower()))
+    held, hosts = Counter(), Counter(d["source"] for d in docs)
+    for d in docs:
+        held.update({(d["source"], norm(x)) for x in (d["text"] or "").split("\n") if WORD.search(x)})
+    gone = {k for k, n in held.items() if n > 3 and n > 0.02 * hosts[k[0]]}
+    assert gone
+    want = {d["doc_id"]: "\n".join(x for x in d["text"].split("\n") if (d["source"], norm(x)) not in gone) for d in docs}
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumns({n: F.lit(1) for n in ("k1", "h", "host", "lines", "row", "cleaned", "a.b")})
+    cleaned = quality.clean(df, min_docs=3)
+    assert cleaned.columns == df.columns
+    got = {r["doc_id"]: r["text"] for r in cleaned.collect()}
+    assert got == {i: want[i] for i in got}
+    assert set(got) == {r["doc_id"] for r in quality.judge(df, min_docs=3).where("kept").collect()}
+
+
+def test_null_hosts_and_texts_are_no_other_rows(spark):
+    docs = [(1, "a b c d e f g h i j k", None), (1, None, "a b c d e f g h i j k"), (None, "a b c d e f g h i j k", "s")]
+    got = quality.judge(spark.createDataFrame(docs, "doc_id long, text string, source string"), min_docs=0, share=0.0).collect()
+    assert sorted((r["n_words"], r["n_removed_words"]) for r in got) == [(0, 0), (11, 11), (11, 11)]
 
 
 def test_token_files(spark):

@@ -85,19 +85,18 @@ WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, {_WORDS} AS ws FRO
 w AS (SELECT doc_id, i, array_to_string(ws[i:i+4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM d)),
 again AS (SELECT doc_id, i FROM w QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
 marked AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS j FROM again) GROUP BY doc_id),
-texts AS (SELECT DISTINCT source, text FROM d),
-hosts AS (SELECT source, count(*) AS n FROM texts GROUP BY source),
-raw AS (SELECT source, text, unnest(string_split(text, chr(10))) AS line FROM texts),
-lines AS (SELECT source, text, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS line,
+hosts AS (SELECT source, count(*) AS n FROM d GROUP BY source),
+raw AS (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
+lines AS (SELECT source, doc_id, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS line,
           len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n FROM raw),
-full_lines AS (SELECT source, text, line, sum(n) AS n FROM lines WHERE n > 0 GROUP BY ALL),
-common AS (SELECT source, line FROM full_lines JOIN hosts USING (source) GROUP BY source, line, hosts.n HAVING count(*) > 20 AND count(*) > 0.02 * hosts.n),
-lost AS (SELECT source, text, sum(n) AS n, count(*) AS k FROM full_lines JOIN common USING (source, line) GROUP BY source, text),
+full_lines AS (SELECT source, doc_id, line, sum(n) AS n FROM lines WHERE n > 0 GROUP BY ALL),
+common AS (SELECT source, line FROM full_lines JOIN hosts USING (source) GROUP BY source, line, hosts.n HAVING count(*) > 20 AND (count(*) > 0.02 * hosts.n OR count(*) > 5000)),
+lost AS (SELECT doc_id, sum(n) AS n, count(*) AS k FROM full_lines JOIN common USING (source, line) GROUP BY doc_id),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
 m AS (SELECT d.doc_id, len(ws) AS n_words, list_sum(list_transform(ws, lambda x: length(x))) AS word_chars,
       length(d.text) - length(regexp_replace(d.text, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(marked.n, 0) AS n_repeat_words,
       coalesce(lost.n, 0) AS gone, coalesce(lost.k, 0) AS gone_lines
-      FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN marked USING (doc_id) LEFT JOIN lost ON lost.source = d.source AND lost.text = d.text)
+      FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN marked USING (doc_id) LEFT JOIN lost USING (doc_id))
 SELECT doc_id, cast(n_words AS bigint) AS n_words, cast(coalesce(word_chars, 0) AS bigint) AS word_chars, cast(n_symbols AS bigint) AS n_symbols, cast(n_dup_lines AS bigint) AS n_dup_lines,
  cast(n_repeat_words AS bigint) AS n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT (gone > 0.5 * n_words OR n_words - gone < 10) AS kept,
