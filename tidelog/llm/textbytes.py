@@ -22,6 +22,7 @@ SLICE_BYTES = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _PUNCTUATION = np.array([0x20 < c < 0x7F and not chr(c).isalnum() for c in range(256)])
+_SOLID = ~(_PUNCTUATION | _SPACE)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -149,9 +150,10 @@ class Words:
         """The same words without ASCII punctuation at either end; a word of nothing else stays."""
         starts, ends = self.starts, self.ends
         if len(starts):
-            solid = np.flatnonzero(~_PUNCTUATION[self.data])  # the words' own bytes, and blanks
-            solid = solid[~self.space[solid]]
-            low, high = np.searchsorted(solid, starts), np.searchsorted(solid, ends)
+            own = _SOLID[self.data]
+            solid, count = np.flatnonzero(own), np.zeros(len(own) + 1, np.int32 if len(own) < 1 << 31 else np.int64)
+            np.cumsum(own, out=count[1:])
+            low, high = count[starts], count[ends]
             some = low < high
             starts, ends = starts.copy(), ends.copy()
             starts[some], ends[some] = solid[low[some]], solid[high[some] - 1] + 1

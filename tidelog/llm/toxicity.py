@@ -42,7 +42,7 @@ SAMPLE_POSTINGS = 6_000_000
 BLOCK = 64
 NEIGHBOURS = 25
 FIRST_BLOCKS = 8
-BATCH = 64
+BATCH = 256
 #: Terms in this share of the examples have columns.
 OFTEN = 0.1
 Vector = tuple[np.ndarray, np.ndarray]
@@ -62,12 +62,27 @@ def term_counts(texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray, np.
     return pairs // max(1, len(terms)), terms[pairs % max(1, len(terms))], counts
 
 
-def known_terms(texts: pa.LargeStringArray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, index into the sorted ``vocabulary``, count) of the known terms of each text, in order."""
-    rows, terms, counts = term_counts(texts)
-    place = np.minimum(np.searchsorted(vocabulary, terms), max(0, len(vocabulary) - 1))
-    hit = vocabulary[place] == terms if len(vocabulary) else np.zeros(len(terms), bool)
-    return rows[hit], place[hit], counts[hit]
+class Vocabulary:
+    """Sorted term hashes, with a table of where those with the same first bits start."""
+
+    BITS = 19
+
+    def __init__(self, terms: np.ndarray):
+        head = (terms >> np.uint64(64 - self.BITS)).astype(np.int64)
+        self.terms, self.size = np.append(terms, np.uint64(2**64 - 1)), len(terms)
+        self.start = np.searchsorted(head, np.arange(1 << self.BITS))
+        self.depth = int(np.bincount(head, minlength=1).max())
+
+    def find(self, texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, place in the vocabulary, count) of the known terms of each text, in order."""
+        words = Words.of(texts, fold=True).trim()
+        place = self.start[(words.hashes >> np.uint64(64 - self.BITS)).astype(np.int64)]
+        for _ in range(self.depth):
+            place += self.terms[place] < words.hashes
+        rows = np.repeat(np.arange(len(texts)), words.counts)
+        hit = (self.terms[place] == words.hashes) & (place < self.size)
+        pairs, counts = np.unique(rows[hit] * max(1, self.size) + place[hit], return_counts=True)
+        return pairs // max(1, self.size), pairs % max(1, self.size), counts
 
 
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -258,12 +273,13 @@ def _document_counts(docs: DataFrame, vocabulary: np.ndarray) -> tuple[np.ndarra
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(len(shared.value), np.int64), 0
+        vocabulary, n = Vocabulary(shared.value), 0
+        total = np.zeros(vocabulary.size, np.int64)
         for batch in batches:
             texts = strings(batch.column("text"))
             n += len(texts)
             for low, high in slices(texts):
-                _, terms, _ = known_terms(texts.slice(low, high - low), shared.value)
+                _, terms, _ = vocabulary.find(texts.slice(low, high - low))
                 total += np.bincount(terms, minlength=len(total))
         held = np.flatnonzero(total)
         yield pa.record_batch([pa.array(np.append(held, -1)), pa.array(np.append(total[held], n))], ["term", "n"])
@@ -330,11 +346,12 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample_row
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, calibration, seen = (fitted[0].value, fitted[1], {}) if fitted else (None, None, {})
+        vocabulary = Vocabulary(model.vocabulary) if fitted else None
         for batch in batches:
             texts = strings(batch.column("text"))
             out: list = [(0.0 if model is None else model.rate_bare, [], [])] * len(texts)
             for low, high in slices(texts) if model is not None else ():
-                rows, terms, counts = known_terms(texts.slice(low, high - low), model.vocabulary)
+                rows, terms, counts = vocabulary.find(texts.slice(low, high - low))
                 bounds = np.flatnonzero(np.diff(rows, prepend=-1, append=-1))
                 if len(seen) > 50_000:
                     seen.clear()
