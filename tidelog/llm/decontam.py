@@ -91,16 +91,28 @@ def templates(texts: pa.LargeStringArray) -> tuple[Words, list[tuple[np.ndarray,
     return words, out
 
 
-def _windows(words: Words, hashes: np.ndarray, slots: np.ndarray, kind: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row, first word (of the slice), hash of each window, and whether it tells."""
-    found, offsets = words.windows(width, hashes)
-    number = np.diff(offsets)
+def _starts(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and first word (of the slice) of each window; a window of one word is a text of that word alone."""
+    counts = words.counts
+    number = (counts == 1).astype(np.int64) if width == 1 else np.maximum(counts - width + 1, 0)
     row = np.repeat(np.arange(len(number)), number)
-    at = np.arange(len(row)) - np.repeat(offsets[:-1], number) + words.first[row]
-    filled = np.concatenate([[0], np.cumsum(slots)])
-    tells = filled[np.minimum(at + width, len(slots))] - filled[at] <= width - 2 if kind != LITERAL else np.ones(len(at), bool)
+    return row, np.arange(len(row)) + np.repeat(words.first[:-1] - (np.cumsum(number) - number), number)
+
+
+def _hash(values: np.ndarray, at: np.ndarray, kind: int, width: int) -> np.ndarray:
+    """A hash of each window; both templates share theirs."""
     with np.errstate(over="ignore"):
-        return row, at, mix(found + np.uint64((kind << 4) + width) * np.uint64(0x9E3779B97F4A7C15)), tells
+        out = np.full(len(at), (width << 1) + (kind != LITERAL), np.uint64)
+        for k in range(width):
+            out = out * np.uint64(0x9E3779B97F4A7C15) + values[at + k]
+        return mix(out)
+
+
+def _among(flags: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """How many words of each window have the flag."""
+    total = np.zeros(len(flags) + 1, np.int64)
+    np.cumsum(flags, out=total[1:])
+    return total[at + width] - total[at]
 
 
 def _values(words: Words, slots: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -110,9 +122,9 @@ def _values(words: Words, slots: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _probes(hashes: np.ndarray) -> list[np.ndarray]:
-    again = mix(hashes)
     mask = np.uint64((1 << FILTER_BITS) - 1)
-    return [(hashes & mask).astype(np.int64), (again & mask).astype(np.int64), ((again >> np.uint64(32)) & mask).astype(np.int64)]
+    again = mix(hashes)
+    return [(x & mask).astype(np.int64) for x in (hashes, again, again >> np.uint64(32))]
 
 
 ITEMS = "item_id long, kind int, width int, n int, windows array<long>, bits array<long>, i_places binary, i_hashes binary, i_values binary"
@@ -126,12 +138,13 @@ def _itemise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words, variants = templates(texts.slice(k, 1))
             size, seen = len(words.starts), set()
             for kind, (hashes, slots) in enumerate(variants if size >= WIDTH else variants[:1]):
-                width = size if 1 < size < WIDTH else WIDTH
-                _, at, found, tells = _windows(words, hashes, slots, kind, width)
-                if not size or 2 * tells.sum() < len(tells) or kind and not slots.any() or (own := slots.tobytes()) in seen:
+                width = min(size, WIDTH)
+                at = _starts(words, width)[1] if size else np.zeros(0, np.int64)
+                tells = at[_among(slots, at, width) <= width - 2] if kind else at
+                if not size or 2 * len(tells) < len(at) or kind and not slots.any() or (own := slots.tobytes()) in seen:
                     continue
                 seen.add(own)
-                at, found = at[tells], found[tells]
+                at, found = tells, _hash(hashes, tells, kind, width)
                 values = _values(words, slots, at) if kind else np.zeros(0, np.uint64)
                 distinct = np.unique(found)
                 bits = np.unique(np.concatenate(_probes(distinct)))
@@ -162,10 +175,10 @@ HITS = "k1 long, k2 long, hashes array<long>, places binary, place_hashes binary
 
 def _passes(bloom: np.ndarray, mask: int, hashes: np.ndarray) -> np.ndarray:
     """Places of the hashes that pass the filter."""
-    left = np.arange(len(hashes))
-    for k in range(3):
-        bit = _probes(hashes[left])[k] & mask
-        left = left[(bloom[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1)).astype(bool)]
+    held = lambda bit: (bloom[bit >> 6] >> (bit & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+    left = np.flatnonzero(held((hashes & np.uint64(mask)).astype(np.int64)))
+    for k in (1, 2):
+        left = left[held(_probes(hashes[left])[k] & mask)]
     return left
 
 
@@ -178,14 +191,23 @@ def _hits(shared, widths: list[int]):
             texts = strings(batch.column("text"))
             for low, high in slices(texts):
                 words, variants = templates(texts.slice(low, high - low))
+                (_, inner), (_, wide) = variants[INNER:]
                 found = []
-                for kind, width in [(LITERAL, w) for w in widths] + [(k, WIDTH) for k in (LITERAL, INNER, WIDE)]:
-                    hashes, slots = variants[kind]
-                    row, at, own, tells = _windows(words, hashes, slots, kind, width)
-                    keep = np.flatnonzero(tells)
-                    keep = keep[_passes(bloom, mask, own[keep])]
-                    values = _values(words, slots, at[keep]) if len(keep) else np.zeros((0, WIDTH), np.uint64)
-                    found.append((row[keep], at[keep] - words.first[row[keep]], own[keep], values))
+                for width, kinds in [(w, (LITERAL,)) for w in widths] + [(WIDTH, (LITERAL, INNER, WIDE))]:
+                    all_rows, all_at = _starts(words, width)
+                    for kind in kinds:
+                        row, at = all_rows, all_at
+                        hashes, slots = variants[kind]
+                        if kind:
+                            keep = _among(slots, at, width) <= width - 2
+                            if kind == WIDE:  # what the other template doesn't have already
+                                keep &= _among(inner != wide, at, width) > 0
+                            row, at = row[keep], at[keep]
+                        own = _hash(hashes, at, kind, width)
+                        keep = _passes(bloom, mask, own)
+                        row, at = row[keep], at[keep]
+                        values = _values(words, slots, at) if len(keep) else np.zeros((0, WIDTH), np.uint64)
+                        found.append((row, at - words.first[row], own[keep], values))
                 row, place, own, values = (np.concatenate(x) for x in zip(*found))
                 order = np.argsort(row, kind="stable")
                 row, place, own, values = row[order], place[order].astype(np.int32), own[order], values[order]
@@ -260,7 +282,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.75) -> DataFra
     spark = docs.sparkSession
     items = cut(items_of(benchmark), "benchmark-items")
     bloom = spark.sparkContext.broadcast(_filter(items))
-    widths = [r[0] for r in items.where(F.col("width") < WIDTH).select("width").distinct().collect()]  # 2, 3 and 4 at most
+    widths = [r[0] for r in items.where(F.col("width") < WIDTH).select("width").distinct().collect()]  # 1 to 4 at most
     rows = docs.select(*text_keys(), F.col("text").cast("string").alias("text"))
     hits = cut(rows.mapInArrow(_hits(bloom, sorted(widths)), HITS).dropDuplicates(["k1", "k2"]), "benchmark-hits")
 
