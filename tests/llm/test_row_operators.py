@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import random
 import re
 import zlib
 from collections import Counter
@@ -78,6 +79,43 @@ def test_secret_scan_method(spark):
     }
 
 
+def plain_random(text, base, encoding):
+    """Random strings by scanning characters."""
+    allowed = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
+    out, i = [], 0
+    while i < len(text):
+        if text[i] not in allowed:
+            i += 1
+            continue
+        j = i
+        while j < len(text) and (text[j] in allowed or text[j] == "." and text[j - 1] in allowed and j + 1 < len(text) and text[j + 1] in allowed):
+            j += 1
+        s = text[i:j]
+        bare = s.strip("=-_/+").lower()
+        digest = len(bare) in (32, 40, 56, 64, 96, 128) and set(bare) <= set("0123456789abcdef") and s.strip("=-_/+") in (bare, bare.upper())
+        uuid = [len(x) for x in bare.split("-")] == [8, 4, 4, 4, 12] and set(bare) <= set("0123456789abcdef-")
+        if len(s) >= 16 and not digest and not uuid and not set(s) <= set("0123456789.+/_=-"):
+            if len(s) / len(encoding.encode_ordinary(s)) <= (1.5 if s.isalpha() else 1.9) and not any(a < j and i < b for a, _, b in base):
+                out.append((i, 3, j))
+        i = j
+    return out
+
+
+def test_random_spans_by_hand(spark):
+    """Planted strings of all alphabets, in and beside other text, and all documents."""
+    rng, letters = random.Random(4), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    made = ["".join(rng.choice(rng.choice([letters, letters + "+/_-.=", "0123456789abcdef", "0123456789.", letters[:52]])) for _ in range(rng.randrange(5, 60))) for _ in range(150)]
+    made += ["qZkXvBnWpLtRfGhJyMcD", "x123e4567-e89b-12d3-a456-426614174000y9", "aB3dE5fG7hI9.kL1mN3pQ", "token=qZkXvBnWpLtRfGhJyMcD1", "é" + "aB3dE5fG7hI9kL1mN3pQ"]
+    texts = [f"see {m} é, {rng.choice(made)}. And {m[:3]}" for m in made] + [d["text"] for d in documents()]
+    got = {r["doc_id"]: r for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), VOCABULARY).collect()}
+    names = ("assign", "access", "hex", "random")
+    for i, text in enumerate(texts):
+        base = plain_spans(text)
+        want = sorted(base + plain_random(text or "", base, secrets.encoding(VOCABULARY)))
+        assert got[i]["spans"] == ",".join(f"{names[k]}:{a}:{b}" for a, k, b in want)
+    assert all(got[150 + k]["n_random"] for k in (0, 1, 2, 4)) and not got[153]["n_random"] - got[153]["spans"].count("random")
+
+
 def plain_measures(text):
     words = WORD.findall(text or "")
     windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]

@@ -1,12 +1,15 @@
 """Secret scan: fixed patterns plus a token-efficiency test.
 
 Text that a public vocabulary was built for costs few tokens per character; random strings cost
-many.  A candidate string is reported as ``random`` when it has few characters per token, after
-known digests (hexadecimal strings of digest length), UUIDs, plain numbers and strings without
-both letters and digits are excluded.
-
-Cases: a null or empty text has no spans; any text length is scanned whole; equal rows give equal
-rows; an empty table gives an empty result; extra columns are ignored.
+many.  A candidate is a run of letters, digits and ``+/_=-``, with single dots inside; it is
+reported as ``random`` when it has few characters per token, after known digests (hexadecimal
+strings of digest length) and identifiers (UUIDs, plain numbers) are excluded.  A candidate of
+letters alone may be a word of a language that the vocabulary knows little of, and needs fewer.
+
+Cases: a null or empty text has no spans; a text of any length is scanned whole, in time in
+proportion to it; spans of fixed patterns stay where a random string would overlap them, and ties
+of starts are ordered by kind; equal rows give equal rows; an empty table gives an empty result;
+extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -26,10 +29,12 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX_LONG = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]+(?:\.[A-Za-z0-9+/_=-]+)*")
+LEAST = 16
 UUID = re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", re.I)
 DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
+NUMBER = re.compile(r"[0-9.+/_=-]+")
 
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long"
 
@@ -46,11 +51,9 @@ def encoding(path: str):
 
 
 def excluded(string: str) -> bool:
-    """Known digests and identifiers, and strings that aren't a mix of letters and digits."""
+    """Known digests and identifiers."""
     bare = string.strip("=-_/+")
-    if not any(c.isdigit() for c in bare) or not any(c.isalpha() for c in bare):
-        return True
-    return bool(UUID.search(bare) or DIGEST.fullmatch(bare) and len(bare) in DIGEST_LENGTHS)
+    return bool(NUMBER.fullmatch(string) or UUID.fullmatch(bare) or DIGEST.fullmatch(bare) and len(bare) in DIGEST_LENGTHS)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -63,13 +66,18 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def random_spans(text: str, base: list[tuple[int, int, int]], path: str, ratio: float) -> list[tuple[int, int, int]]:
-    out = []
+def random_spans(text: str, base: list[tuple[int, int, int]], path: str, ratio: float, letters_ratio: float) -> list[tuple[int, int, int]]:
+    """Spans of random strings that overlap none of ``base``, which is in order."""
+    out, at, last = [], 0, 0
     for m in CANDIDATE.finditer(text):
         start, end = m.span()
-        if excluded(m[0]) or any(a < end and start < b for a, _, b in base):
+        if end - start < LEAST:
+            continue
+        while at < len(base) and base[at][0] < end:
+            last, at = max(last, base[at][2]), at + 1
+        if last > start or excluded(m[0]):
             continue
-        if (end - start) / len(encoding(path).encode_ordinary(m[0])) <= ratio:
+        if (end - start) / len(encoding(path).encode_ordinary(m[0])) <= (letters_ratio if m[0].isalpha() else ratio):
             out.append((start, 3, end))
     return out
 
@@ -78,11 +86,11 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def scan(docs: DataFrame, vocabulary: str, ratio: float = 1.9) -> DataFrame:
+def scan(docs: DataFrame, vocabulary: str, ratio: float = 1.9, letters_ratio: float = 1.5) -> DataFrame:
     """Secrets of every row of ``docs`` (doc_id, text): counts, and spans in code points.
 
     ``vocabulary`` is a tiktoken rank file, ``ratio`` the most characters per token of a random
-    string.  One pass without a shuffle.
+    string, and ``letters_ratio`` that of one of letters alone.  One pass without a shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,7 +99,7 @@ def scan(docs: DataFrame, vocabulary: str, ratio: float = 1.9) -> DataFrame:
             for text in batch.column("text").to_pylist():
                 text = text or ""
                 base = base_spans(text)
-                extra = random_spans(text, base, vocabulary, ratio)
+                extra = random_spans(text, base, vocabulary, ratio, letters_ratio)
                 for k in range(3):
                     rows[k].append(sum(x[1] == k for x in base))
                 rows[3].append(hashlib.sha256(joined(base).encode()).hexdigest())
