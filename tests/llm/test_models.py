@@ -14,6 +14,7 @@ import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tests.llm.cases import empty, frame, rows
@@ -66,6 +67,58 @@ def test_language_of_pages(spark):
     assert np.mean([r["language"] == r["declared"] for r in got]) > 0.95
 
 
+def test_rare_languages_get_a_model(spark):
+    """Twelve rows of a language among hundreds of others, whatever the size of the sample."""
+    by = {}
+    for d in documents():
+        by.setdefault(d["lang"], []).append((d["doc_id"], d["text"], d["lang"], "s"))
+    rare = by["es"][:12]
+    df = spark.createDataFrame(by["en"][:400] + by["fr"][:100] + rare, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r["language"] for r in langid.identify(df, rows_per_language=20).collect()}
+    assert np.mean([got[i] == "es" for i, *_ in rare]) > 0.9
+    plan = df.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id"))).where("r <= 3")._jdf.queryExecution().toString()
+    assert "WindowGroupLimit" in plan  # Spark keeps the first rows of a language before the shuffle
+
+
+def _language_by_hand(data, temper=0.2):
+    """The fusion with dictionaries: trigram likelihoods, declarations, and host, suffix and corpus priors."""
+    plain = lambda t: bytes(c if c >= 0x80 else ord(chr(c).lower()) if chr(c).isalpha() else 0x20 for c in t.encode())
+    grams = lambda t: [int((p[i] * 0x9E3779B1 + p[i + 1] * 0x85EBCA6B + p[i + 2] * 0xC2B2AE35) % 2**32) >> 17 for p in [b" " + plain(t) + b" "] for i in range(len(p) - 2)]
+    n = Counter(d for _, _, d, _, _ in data if d)
+    names = sorted(d for d in n if n[d] >= 8)
+    tallies = {d: Counter(g for _, t, own, _, _ in data if own == d for g in grams(t or "")) for d in names}
+    size = 1 << 15
+    log = {d: (lambda g, c=c, total=sum(c.values()): math.log((c[g] + 0.05) / (total + 0.05 * size))) for d, c in tallies.items()}
+    logs = {i: [sum(map(log[d], grams(t or ""))) for d in names] + [-math.log(size) * len(grams(t or ""))] for i, t, *_ in data}
+    best = {i: max(range(len(names) + 1), key=lambda k: (x[k], -k)) if len(set(x)) > 1 else len(names) for i, x in logs.items()}
+    whole = Counter(best.values())
+    prior = [(whole[k] + 1) / (len(data) + len(names) + 1) for k in range(len(names) + 1)]
+    count = lambda place: Counter((row[place], best[row[0]]) for row in data)
+    by = {place: (count(place), Counter(row[place] for row in data)) for place in (2, 3, 4)}
+    share = lambda place, row, k, p, w: (by[place][0][row[place], k] + w * p) / (by[place][1][row[place]] + w)
+    out = {}
+    for row in data:
+        scores = []
+        for k in range(len(names) + 1):
+            host = share(3, row, k, share(4, row, k, prior[k], 50), 20)
+            scores.append(temper * logs[row[0]][k] + math.log(host) + math.log(share(2, row, k, prior[k], 20)) - math.log(prior[k]))
+        top = max(range(len(scores)), key=lambda k: (scores[k], -k))
+        bare = not grams(row[1] or "")
+        out[row[0]] = ("und", 0.0) if bare else ([*names, "und"][top], 1 / sum(math.exp(x - scores[top]) for x in scores))
+    return out
+
+
+def test_language_by_hand(spark):
+    """Every evidence, with markup and address suffix, against plain Python."""
+    pages = langid.page_columns(spark.read.parquet("/root/testdata/sf0.001/pages.parquet"))
+    data = [tuple(r) for r in pages.collect()] + [(70_001, "", "en", "a.example.de", "de"), (70_002, "de la", None, "b.example.fr", "fr"), (70_003, "der die", "fr", "c.example.de", "de"), (70_004, None, None, None, None)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, suffix string")
+    got = {r["doc_id"]: (r["language"], r["probability"]) for r in langid.identify(df, suffix="suffix").collect()}
+    want = _language_by_hand(data)
+    assert {i: x[0] for i, x in got.items()} == {i: x[0] for i, x in want.items()}
+    assert all(abs(got[i][1] - want[i][1]) < 1e-3 for i in want)
+
+
 def test_language_odd_rows(spark):
     assert langid.identify(frame(spark)).count() == len(rows())
     carried = langid.identify(frame(spark), carry=True)

@@ -8,13 +8,17 @@ The posterior of a language is proportional to the product of
 * the prior of the host, smoothed towards its address suffix, which is smoothed towards the
   whole corpus.
 
-Models are fitted on a bounded sample of rows with a declared language.  Declarations and priors
+Models are fitted on a bounded sample of rows of each declared language: ``rows_per_language``, by a
+hash of their id.  A language gets a model if ``least_rows`` rows of the corpus declare it, however
+small its share, and is among the ``most_languages`` that most rows declare.  Declarations and priors
 are counted over all rows by grouped aggregation of the text's own best language.  A flat model
 stands for "no language"; a row is kept if a language beats it and is likely enough.
 
 Cases: a null or empty text has no evidence of its own and is rejected; a null declaration,
-suffix or host is a value like others for counting; equal rows give equal rows; a corpus without
-declared languages or an empty table rejects all rows; extra columns are ignored.
+suffix or host is a value like others for counting; texts of any length are read whole; of two
+languages with equal scores the first by name wins; equal rows give equal rows; a corpus without
+declared languages or an empty table rejects all rows; extra columns, whatever their names, are
+ignored, or stay in the struct ``row``.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,7 +35,9 @@ from tidelog.llm.shared import cut, small_batches
 from tidelog.llm.textbytes import raw, slices, strings
 
 BUCKETS = 1 << 15
-SAMPLE_ROWS = 8192
+ROWS_PER_LANGUAGE = 2048
+LEAST_ROWS = 8
+MOST_LANGUAGES = 256
 NONE = "und"
 
 MARKUP = r"""(?i)<html[^>]*\slang\s*=\s*["']?([a-z]{2,3})"""
@@ -66,20 +72,26 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows = [i for i in range(high - low) if names[low + i] == name]
                 tally = np.bincount(np.concatenate([found[offsets[i] : offsets[i + 1]] for i in rows]), minlength=BUCKETS)
                 at = np.flatnonzero(tally)
-                yield pa.record_batch([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(tally[at], pa.int64()), pa.array([len(rows)] + [0] * (len(at) - 1), pa.int64())] if len(at) else [pa.array([name], pa.string()), pa.array([0], pa.int32()), pa.array([0], pa.int64()), pa.array([len(rows)], pa.int64())], ["declared", "bucket", "n", "rows"])
+                yield pa.record_batch([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(tally[at], pa.int64())], ["declared", "bucket", "n"])
 
 
-def fit(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, least_rows: int = 8) -> tuple[list[str], np.ndarray]:
-    """Languages and their log probabilities by bucket, from a sample of ``sample_rows`` declared rows.
+def fit(rows: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, least_rows: int = LEAST_ROWS, most_languages: int = MOST_LANGUAGES) -> tuple[list[str], np.ndarray]:
+    """Languages and their log probabilities by bucket, from a sample of each declared language.
 
-    At most BUCKETS counts for each declared language come to the driver.
+    The window keeps only the first rows of each language in every task before it shuffles, so a
+    language of most rows costs no more than others.  At most BUCKETS counts for each language come
+    to the driver.
     """
-    picked = rows.where("declared is not null").select("doc_id", "declared", F.xxhash64("doc_id").alias("_order")).orderBy("_order", "doc_id").limit(sample_rows)
-    picked = picked.select("doc_id", "declared").distinct()
+    declared = rows.where("declared is not null")
+    counts = declared.groupBy("declared").agg(F.count("*").alias("n")).where(F.col("n") >= least_rows)
+    named = [r["declared"] for r in counts.orderBy(F.desc("n"), "declared").limit(most_languages).collect()]
+    rank = F.row_number().over(Window.partitionBy("declared").orderBy("_order", "doc_id"))
+    picked = declared.where(F.col("declared").isin(named)).select("doc_id", "declared", F.xxhash64("doc_id").alias("_order")).withColumn("_rank", rank)
+    picked = picked.where(F.col("_rank") <= rows_per_language).select("doc_id", "declared").distinct()
     sample = rows.select("doc_id", "declared", "text").join(F.broadcast(picked), ["doc_id", "declared"], "left_semi")
-    tally = sample.select("declared", "text").mapInArrow(_counts, "declared string, bucket int, n long, rows long")
-    found = tally.groupBy("declared", "bucket").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows")).toPandas()
-    names = sorted(n for n, r in found.groupby("declared")["rows"].sum().items() if r >= least_rows)
+    tally = sample.select("declared", "text").mapInArrow(_counts, "declared string, bucket int, n long")
+    found = tally.groupBy("declared", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    names = sorted(found["declared"].unique())
     table = np.zeros((len(names), BUCKETS))
     for k, name in enumerate(names):
         own = found[found["declared"] == name]
@@ -123,7 +135,7 @@ def _by(best: DataFrame, key: str) -> DataFrame:
     return counts.agg(F.map_from_entries(F.collect_list(F.struct("best", "n"))).alias(f"{key}_counts"), F.sum("n").alias(f"{key}_total")).withColumnRenamed(key, f"_{key}")
 
 
-def identify(docs: DataFrame, declared: str = "lang", host: str = "source", suffix: str | None = None, min_probability: float = 0.5, temper: float = 0.2, sample_rows: int = SAMPLE_ROWS, carry: bool = False) -> DataFrame:
+def identify(docs: DataFrame, declared: str = "lang", host: str = "source", suffix: str | None = None, min_probability: float = 0.5, temper: float = 0.2, rows_per_language: int = ROWS_PER_LANGUAGE, carry: bool = False) -> DataFrame:
     """Language, probability and verdict of every row of ``docs`` (doc_id, text and the named columns).
 
     With ``carry`` the whole row comes along as the struct ``row``.
@@ -132,7 +144,7 @@ def identify(docs: DataFrame, declared: str = "lang", host: str = "source", suff
     rows = docs.select("doc_id", named("text").alias("text"), F.lower(named(declared)).alias("declared"), named(host).alias("host"), named(suffix).alias("suffix"), *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else []))
     small_batches(docs.sparkSession)
     own = ["row"] if carry else []
-    names, table = fit(rows, sample_rows)
+    names, table = fit(rows, rows_per_language)
     if not names:
         return rows.select("doc_id", F.lit(NONE).alias("language"), F.lit(0.0).alias("probability"), F.lit(False).alias("kept"), "declared", *own)
     scored = cut(rows.mapInArrow(_likelihoods(table), rows.drop("text").schema.add("logs", T.ArrayType(T.DoubleType()))), "language-likelihoods")
