@@ -18,6 +18,8 @@ by :func:`plan`.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -85,8 +87,7 @@ def _class(size: Column) -> Column:
 
 
 def _equal(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
-    same = [left[n].eqNullSafe(right[n]) for n in names]
-    return same[0] & same[1] & same[2] if len(same) == 3 else same[0]
+    return reduce(and_, (left[n].eqNullSafe(right[n]) for n in names))
 
 
 KEY = ["doc_id", "source", "text_key"]
@@ -103,8 +104,10 @@ def draws(sized: DataFrame, seed: int, share: float, most: float) -> DataFrame:
     keys = keys.withColumn("class", _class(F.col("size") * F.col("rows"))).withColumn("draw", _number(key))
     keys = cut(keys.withColumn("bucket", F.shiftright("draw", BITS - RANKED).cast("int")), "mixing-keys")
     histogram = keys.groupBy("source", "class", "bucket").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("source").orderBy("class", "bucket").rowsBetween(Window.unboundedPreceding, -1)
-    histogram = histogram.select("source", "class", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    before = lambda *names: F.coalesce(F.sum("n").over(Window.partitionBy(*names[:-1]).orderBy(names[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    classes = histogram.groupBy("source", "class").agg(F.sum("n").alias("n")).select("source", "class", before("source", "class").alias("class_base"))
+    buckets = histogram.select("source", "class", "bucket", before("source", "class", "bucket").alias("base"))
+    histogram = buckets.join(classes, _equal(buckets, classes, ["source", "class"])).select(*(buckets[c] for c in ("source", "class", "bucket")), (F.col("base") + F.col("class_base")).alias("base"))
     inside = F.row_number().over(Window.partitionBy("source", "class", "bucket").orderBy("draw", "doc_id", "text_key")) - 1
     ranked = keys.withColumn("inside", inside)
     ranked = ranked.join(histogram, _equal(ranked, histogram, ["source", "class", "bucket"])).select(*(ranked[c] for c in KEY), (F.col("inside") + F.col("base")).alias("rank"))
