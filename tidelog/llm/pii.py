@@ -2,13 +2,16 @@
 
 Card numbers (Luhn), phone numbers, IPv4 addresses, social-security-style numbers, IBANs (mod 97)
 and dates are validated and replaced by other values of the same format; local parts of e-mail
-addresses likewise.  A number is taken without what follows it if only then it is valid.  The permutation depends on the key and the kind only, so equal values get
-equal pseudonyms in all documents and different values stay different.  Nothing is stored: no
-table of values, and no shuffle.
-
-Cases: a null text stays null with zero counts; an empty text stays empty; texts are treated
-whole; equal rows give equal rows; an empty table gives an empty result; extra columns are
-ignored.
+addresses likewise.  A number is taken without what follows it if only then it is valid.  A phone
+number has a country code, an area code in parentheses, a leading 0, or ten digits.  Dates of the
+years 1900 to 2099 are permuted among themselves, and those of other years too.  The permutation
+depends on the key and the kind only, so equal values get equal pseudonyms in all documents and
+different values stay different.  Nothing is stored: no table of values, and no shuffle.
+
+Cases: a null text stays null with zero counts; an empty text stays empty; texts of any length are
+treated whole; where two kinds match at a place the first of ``PIECES`` that is valid wins, and no
+match starts inside another; equal rows give equal rows; an empty table gives an empty result;
+extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ KINDS = ("email", "iban", "card", "ip", "phone", "ssn", "date")
 ROUNDS = 10
 FIRST_DAY, LAST_DAY = dt.date(1900, 1, 1), dt.date(2099, 12, 31)
 DAYS = (LAST_DAY - FIRST_DAY).days + 1
+OTHER_DAYS = dt.date.max.toordinal() - DAYS
 #: Names of months in the corpus's languages; of a name in two, a day with a full stop tells German.
 MONTHS = {
     "en": "January February March April May June July August September October November December".split(),
@@ -43,16 +47,17 @@ PIECES = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
-    "date": r"(?<![0-9.])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4})(?![0-9]|\.[0-9])",
+    "date": r"(?<![0-9.])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}(?:\.[0-9]{1,2}\.|/[0-9]{1,2}/|-[0-9]{1,2}-)[0-9]{4})(?![0-9]|\.[0-9])",
     "day": rf"(?<![0-9.])[0-9]{{1,2}}(?:\.|er|st|nd|rd|th)?\x20(?:de\x20|of\x20)?(?i:{NAMES}),?\x20(?:del?\x20)?[0-9]{{4}}(?![0-9])",
     "month": rf"\b(?i:{NAMES})\x20[0-9]{{1,2}}(?:st|nd|rd|th)?,?\x20[0-9]{{4}}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9A-Za-z])[0-9](?:[\x20-]?[0-9]){12,18}(?![0-9A-Za-z])",
-    "phone": r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[\x20.-][0-9]{3,4}[\x20.-]?[0-9]{3,4}(?![0-9])|(?<![0-9A-Za-z+])\+[0-9]{8,15}(?![0-9])",
+    "phone": r"(?<![0-9A-Za-z+])(?<![0-9][.,/-])(?:\+[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[\x20.-][0-9]{3,4}[\x20.-]?[0-9]{3,4}(?![0-9])|(?<![0-9A-Za-z+])\+[0-9]{8,15}(?![0-9])|(?<![0-9A-Za-z+.,/-])0{1,2}[1-9][0-9]{0,3}(?:[\x20/.-][0-9]{2,8}){1,4}(?![0-9A-Za-z]|[.,/-][0-9])",
 }
 PATTERNS = {kind: re.compile(pattern) for kind, pattern in PIECES.items()}
 PATTERN = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in PIECES.items()))
 QUICK = re.compile(r"[0-9@]")
+TRUNK = re.compile("0{1,2}[1-9]")
 
 
 class Feistel:
@@ -138,9 +143,18 @@ class Pseudonyms:
         head = re.match(r"\+[0-9]{1,3}(?=\D)|\+[0-9]", text)
         head = head[0] if head else ""
         digits = re.sub(r"\D", "", text[len(head) :])
-        if not 7 <= len(digits) <= 14 or not head and "(" not in text and len(digits) != 10:
+        if not 7 <= len(digits) <= 14:
+            return None
+        if head or "(" in text:
+            return head + fill(text[len(head) :], self._digits("phone", digits))
+        if trunk := TRUNK.match(digits):  # the leading 0 or 00 and the region stay
+            return fill(text, trunk[0] + self._digits("phone", digits[trunk.end() :]))
+        if len(digits) != 10:
             return None
-        return head + fill(text[len(head) :], self._digits("phone", digits))
+        new = self._digits("phone", digits)
+        while TRUNK.match(new):
+            new = self._digits("phone", new)
+        return fill(text, new)
 
     def ip(self, text: str) -> str | None:
         parts = list(map(int, text.split(".")))
@@ -196,31 +210,36 @@ class Pseudonyms:
         return f"{self.alphanumeric('email', local)}@{domain}"
 
     def _day(self, day: dt.date) -> dt.date:
-        return FIRST_DAY + dt.timedelta(self._feistel("date", DAYS)((day - FIRST_DAY).days))
+        if FIRST_DAY <= day <= LAST_DAY:
+            return FIRST_DAY + dt.timedelta(self._feistel("date", DAYS)((day - FIRST_DAY).days))
+        first = FIRST_DAY.toordinal()
+        place = day.toordinal() - 1 - (DAYS if day > LAST_DAY else 0)
+        place = self._feistel("other date", OTHER_DAYS)(place)
+        return dt.date.fromordinal(place + 1 + (DAYS if place + 1 >= first else 0))
 
     def date(self, text: str) -> str | None:
-        """Years first; day first with full stops; month first with slashes, unless the first is above 12.
+        """Years first; day first with full stops; month first with slashes and hyphens, unless the first is above 12.
 
         Days above 12 that come first stay above 12, so that no two such texts of one reading become one.
         """
         try:
-            if "-" in text:
-                return self._day(_known(dt.date.fromisoformat(text))).isoformat()
-            a, b, year = map(int, re.split(r"[./]", text))
-            mark = "." if "." in text else "/"
-            wide = 2 if len(re.split(r"[./]", text)[0]) == 2 else 1
-            if mark == "/" and a > 12:
-                new = self._day(_known(dt.date(year, b, a)))
+            if text[4:5] == "-":
+                return self._day(dt.date.fromisoformat(text)).isoformat()
+            a, b, year = map(int, re.split(r"[./-]", text))
+            mark = re.search(r"[./-]", text)[0]
+            wide = 2 if len(re.split(r"[./-]", text)[0]) == 2 else 1
+            if mark != "." and a > 12:
+                new = self._day(dt.date(year, b, a))
                 while new.day <= 12:
                     new = self._day(new)
                 first, second = new.day, new.month
-            elif mark == "/":
-                new = self._day(_known(dt.date(year, a, b)))
+            elif mark != ".":
+                new = self._day(dt.date(year, a, b))
                 first, second = new.month, new.day
             else:
-                new = self._day(_known(dt.date(year, b, a)))
+                new = self._day(dt.date(year, b, a))
                 first, second = new.day, new.month
-            return f"{first:0{wide}d}{mark}{second:0{wide}d}{mark}{new.year}"
+            return f"{first:0{wide}d}{mark}{second:0{wide}d}{mark}{new.year:04d}"
         except ValueError:
             return None
 
@@ -231,12 +250,12 @@ class Pseudonyms:
         known = [months for months in MONTHS.values() if name[0].lower() in map(str.lower, months)]
         months = MONTHS["de"] if MONTHS["de"] in known and f"{number}." in text else known[0]
         try:
-            new = self._day(_known(dt.date(int(year), [m.lower() for m in months].index(name[0].lower()) + 1, int(number))))
+            new = self._day(dt.date(int(year), [m.lower() for m in months].index(name[0].lower()) + 1, int(number)))
         except ValueError:
             return None
         word = months[new.month - 1]
         word = word.upper() if name[0].isupper() else word.lower() if name[0].islower() else word.capitalize()
-        parts = {number: str(new.day), name[0]: word, year: str(new.year)}
+        parts = {number: str(new.day), name[0]: word, year: f"{new.year:04d}"}
         return re.sub(rf"([0-9]+)(?:er|st|nd|rd|th)?|{re.escape(name[0])}", lambda m: parts[m[1] or m[0]], text)
 
     month = day
@@ -278,12 +297,6 @@ class Pseudonyms:
         return "".join([*out, text[done:]])
 
 
-def _known(day: dt.date) -> dt.date:
-    if not FIRST_DAY <= day <= LAST_DAY:
-        raise ValueError(day)
-    return day
-
-
 @lru_cache(maxsize=4)
 def pseudonyms(key: bytes) -> Pseudonyms:
     return Pseudonyms(key)
