@@ -5,6 +5,7 @@ import re
 
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.cases import empty, frame, rows
 from tidelog.llm import ngram_join
@@ -88,6 +89,16 @@ def test_odd_rows(spark):
     assert ngram_join.join(empty(spark)).count() == 0
 
 
+def test_null_ids_and_clashing_names(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    data = [(None, text), (5, text), (9, text + " end"), (None, None), (4, None), (None, "alone " + text[::-1])]
+    df = spark.createDataFrame(data, "doc_id long, text string").withColumns({n: F.lit(1) for n in ("k1", "row", "sid", "label", "component_id", "a.b")})
+    kept = ngram_join.one_per_component(df)
+    assert kept.columns == df.columns
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()) == sorted([(5, text), (0, ""), (4, ""), (0, "alone " + text[::-1])])
+    assert {r["component_id"] for r in ngram_join.join(df).where("n_shingles > 0").collect()} == {5, None}
+
+
 def test_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 3)], "a long, b long")
     assert {r["node"]: r["label"] for r in components(edges).collect()} == {i: 0 for i in range(61)} | {100: 100, 101: 100}

@@ -7,8 +7,8 @@ most documents, whose prefix occurs nowhere else, need no partner at all.
 
 Steps, each a Spark job on the shuffled result of the one before:
 
-1. Blocks of documents send their distinct shingles (38 to 48 bits of the hash) to hash ranges,
-   packed as arrays; equal sets in a block are sent once.
+1. Blocks of documents send their distinct shingles (the first 40 to 52 bits of the hash, the more
+   the larger the corpus) to hash ranges, packed as arrays; equal sets in a block are sent once.
 2. Each range counts frequencies and returns the shingles that two sets share.
 3. Each block's sets get their prefix: shared shingles after the unshared ones, rarest first.
    Sets whose prefix has no shared shingle are done.
@@ -20,11 +20,15 @@ in 32 of the pairs that are still in different components, and then all pairs th
 however many remain.  A dense family is thus connected without listing its pairs, and no bucket
 is capped.
 
-A set's identity is a 64-bit hash of its shingles' hashes; equality of shingles is that of hashes.
+A set's identity is a 64-bit hash of its shingles' hashes; equality of shingles is that of the bits
+that travel.  Two sets of 300 shingles hold a chance agreement in one of 10**7 pairs or fewer.
 
 Cases: a null or empty text, or one without words, has no shingles and is its own component; with
-fewer words than the width the whole text is one shingle; rows with equal doc_id are treated by
-their text; an empty table gives an empty result; extra columns are ignored.
+fewer words than the width the whole text is one shingle; texts of any length are read whole; rows
+with equal doc_id are treated by their text; a row without doc_id counts for a component's id and
+for its kept document only where no other row does; ties of documents are broken by two hashes of
+the row; an empty table gives an empty result; extra columns, whatever their names, are ignored by
+:func:`join` and stay in :func:`one_per_component`.
 """
 
 from __future__ import annotations
@@ -75,6 +79,10 @@ def _identities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(sets))], [*kept, "n_shingles", "sid"])
 
 
+#: Ranges are at least and at most two to these powers; above FINE, blocks grow with them.
+LEAST_BITS, FINE, MOST_BITS = 8, 16, 20
+
+
 def _blocks(bits: int):
     """Rows (block, range, tokens, doc numbers); one row of each block also describes its sets."""
 
@@ -84,7 +92,7 @@ def _blocks(bits: int):
             all_texts = strings(batch.column("text"))
             for first in range(0, len(all_texts), BLOCK_ROWS):
                 texts = all_texts.slice(first, BLOCK_ROWS)
-                for low, high in slices(texts, BLOCK_BYTES):
+                for low, high in slices(texts, BLOCK_BYTES << max(0, bits - FINE)):
                     rows = _block(texts.slice(low, high - low), block, bits)
                     if rows is not None:
                         yield rows
@@ -109,7 +117,7 @@ def _block(texts: pa.LargeStringArray, block: int, bits: int) -> pa.RecordBatch
     fresh[1:] = (token[1:] != token[:-1]) | (number[1:] != number[:-1])
     token, number = token[fresh], number[fresh].astype(np.uint16)
     distinct = np.bincount(number, minlength=used.sum())
-    part = (token >> np.uint64(32)).astype(np.uint16)
+    part = (token >> np.uint64(32)).astype(np.uint16 if bits <= FINE else np.uint32)
     order = np.argsort(part, kind="stable")
     part, low, number = part[order], token[order].astype(np.uint32), number[order]
     parts, starts = np.unique(part, return_index=True)
@@ -236,7 +244,7 @@ def prefixes(docs: DataFrame, tokens: int, percent: int = PERCENT) -> DataFrame:
     """Sets that may have a partner: identity, size, group key, shared prefix and shared shingles."""
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bits = min(16, max(4, int(max(2 * partitions, tokens // RANGE_TOKENS) - 1).bit_length()))
+    bits = min(MOST_BITS, max(LEAST_BITS, int(max(2 * partitions, tokens // RANGE_TOKENS) - 1).bit_length()))
     buckets = max(8, (1 << bits) // 2)
     packed = docs.select("text").mapInArrow(_blocks(bits), "block long, part int, tokens binary, numbers binary, sets binary, sizes binary, distinct binary")
     shared = packed.groupBy("part").applyInArrow(_frequencies(buckets), SHARED)
@@ -338,7 +346,8 @@ def set_components(sets: DataFrame, percent: int = PERCENT, cut: Callable[[DataF
 
 def row_keys() -> list[Column]:
     """Two hashes that tell rows apart by their id and text; never null."""
-    return [F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64("text", "doc_id", F.lit(7)).alias("k2")]
+    parts = [F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text"]
+    return [F.xxhash64(*parts).alias("k1"), F.xxhash64(F.lit(7), *parts).alias("k2")]
 
 
 def memberships(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -370,7 +379,7 @@ def join(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def one_per_component(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Of each component the row of its smallest doc_id; rows without shingles all stay, once each."""
     placed = memberships(docs, percent)
-    best = placed.where("n_shingles > 0").groupBy("label").agg(F.min(F.struct("doc_id", "k1", "k2")).alias("r")).select("r.k1", "r.k2")
+    best = placed.where("n_shingles > 0").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k1", "k2")).alias("r")).select("r.k1", "r.k2")
     winners = best.unionByName(placed.where("n_shingles = 0").select("k1", "k2").distinct())
     rows = docs.select(*row_keys(), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).groupBy("k1", "k2").agg(F.first("row").alias("row"))
     return rows.join(winners, ["k1", "k2"], "left_semi").select("row.*")

@@ -20,9 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where a session has none, as in tests, a folder in its warehouse is used.
+    A local session without one, as in tests, uses a folder in its warehouse; a cluster must name one.
     """
-    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
 
 
 def fresh_folder(spark: SparkSession, name: str) -> str:
