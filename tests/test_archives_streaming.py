@@ -8,7 +8,9 @@ import pytest
 from tests.helpers import UTC, by, make_log
 from tidelog.functions import codecs
 from tidelog.operators.shovel import shovel
+from tidelog.model import WrongExpectedVersion
 from tidelog.sources import archives
+from tidelog.sources.store import LogStore
 from tidelog.streaming import health
 from tidelog.streaming.subscription import Lifecycle, Subscription
 
@@ -136,6 +138,38 @@ def test_flat_files(spark, tmp_path):
     assert archives.read_flat(spark, str(tmp_path), rows[0]["position"]).count() == 2
 
 
+def test_cache_and_flat_writers(spark, log, tmp_path):
+    written = archives.write_cache(log, str(tmp_path / "cache"), 2).collect()
+    assert sorted(r["events"] for r in written) == [1, 2, 2] and not list((tmp_path / "cache").glob("*.tmp"))
+    assert by(archives.read_cache(spark, str(tmp_path / "cache")), "position", "position", "event_type") == [(str(p), t) for p, t in by(log, "position", "position", "event_type")]
+    folder = str(tmp_path / "flat")
+    new = LogStore(spark, str(tmp_path / "s")).events
+    assert archives.write_flat(new("c", "i.1", [("A", b"1", b"m"), ("B", b"2")]), folder, expected_version=-1, clock="2024-01-01T00:00:00.5Z") == 2
+    assert archives.write_flat(new("c", "j", [("C", b"3")]), folder) == 1
+    assert archives.write_flat(new("c", "i.1", [("D", b"")]), folder, expected_version=1) == 1
+    with pytest.raises(WrongExpectedVersion):
+        archives.write_flat(new("c", "i.1", [("E", b"")]), folder, expected_version=1)
+    rows = archives.read_flat(spark, folder).orderBy("position").collect()
+    assert [(int(r["position"][:8], 16), r["stream_id"], r["event_number"], r["event_type"], bytes(r["metadata"])) for r in rows] == [(1, "i.1", 0, "A", b"m"), (2, "i.1", 1, "B", b""), (3, "j", 0, "C", b""), (4, "i.1", 2, "D", b"")]
+
+
+def test_only_chosen_files_are_opened(spark, log, tmp_path):
+    """Damaged files outside the range don't matter, since nobody reads them."""
+    folder = str(tmp_path / "framed")
+    archives.write_framed(log, folder, "s", 1).collect()
+    first = sorted((tmp_path / "framed/s").glob("*.gz"))[0]
+    first.write_bytes(b"damaged")
+    assert archives.read_framed(spark, folder, "s", after=1).count() == 4
+    assert archives.last_framed_event(spark, folder, "s").first()["position"] == 5
+    archives.write_cpio(log, str(tmp_path / "cpio"), per_file=1).collect()
+    files = sorted((tmp_path / "cpio").rglob("*.cpio.gz"))
+    end = archives.last_cpio_position(spark, str(tmp_path / "cpio"))
+    rest = archives.read_cpio(spark, str(tmp_path / "cpio"), after=files[0].name.removesuffix(".cpio.gz"))
+    assert rest.count() == 4
+    files[0].write_bytes(b"damaged")
+    assert archives.last_cpio_position(spark, str(tmp_path / "cpio")) == end
+
+
 # Subscription
 
 
@@ -180,6 +214,37 @@ def test_subscription_goes_on_and_stops(spark, log, tmp_path):
         Subscription(spark, "h", source, [], "x", staleness_seconds=(0.5, 10))
 
 
+def test_waiting_for_a_subscription(spark, log, tmp_path):
+    source, lives = str(tmp_path / "in"), []
+    log.where("position <= 2").coalesce(1).write.parquet(source)
+    sub = Subscription(spark, "w", source, [lambda b: b.count()], str(tmp_path / "cp"), on_lifecycle=lambda e, p: lives.append((e, p)), schema=log.schema, run_frequency_seconds=0.1)
+    query = sub.start()
+    assert sub.initial_catchup.result(60) == 2
+    sub.await_position(2, 1)
+    with pytest.raises(TimeoutError):
+        sub.await_position(5, 0.2)
+    log.where("position > 2").coalesce(1).write.mode("append").parquet(source)
+    sub.await_position(5, 60)
+    query.stop()
+    assert lives == [(Lifecycle.INITIAL_CATCHUP_COMPLETED, 2), (Lifecycle.CAUGHT_UP, 5)]
+
+    def fail(batch):
+        raise RuntimeError("no")
+
+    broken = Subscription(spark, "x", source, [fail], str(tmp_path / "cp2"), schema=log.schema, run_frequency_seconds=0.1)
+    broken.start()
+    with pytest.raises(RuntimeError):
+        broken.initial_catchup.result(60)
+    with pytest.raises(RuntimeError):
+        broken.await_position(1, 60)
+
+
+def test_archive_connection():
+    assert health.archive_connection(lambda: 7) == (health.OK, "archived up to 7")
+    assert health.archive_connection(lambda: None) == (health.OK, "empty archive")
+    assert health.archive_connection(lambda: 1 / 0)[0] == health.CRITICAL
+
+
 def test_health(spark, log):
     t = health.Threshold.ratio(1, 5)
     assert [t.status(x) for x in (1, 1.5, 5, 6)] == ["OK", "WARNING", "WARNING", "CRITICAL"]

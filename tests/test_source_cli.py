@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.helpers import by, column, make_log
-from tidelog.operators.source import LogSource, Unsupported, merged, stitched
+from tidelog.operators.source import LogSource, Unsupported, merged, merged_in_order, stitched
 from tidelog.operators.transform import containing_event_types
 from tidelog.plans.cli import main
 from tidelog.sources.store import LogStore
@@ -22,7 +22,16 @@ def test_sources(spark, tmp_path):
             call()
     both = merged({"x": source, "y": source}, F.col("position"))
     assert by(both.log(), "merge_rank", "event_type") == ["A", "A", "B", "B"]
-    assert stitched(source, source, 1).log().count() == 3
+    position = both.codec.render((1, 2))
+    assert column(both.read_all(position), "event_type") == ["B"] and column(both.read_last_event(), "event_type") == ["B"]
+    assert column(merged_in_order({"x": source, "y": source}).read_all(), "event_type") == ["A", "B", "A", "B"]
+    whole = stitched(source, source, 1)
+    assert column(whole.read_all(), "event_type") == ["A", "B", "B"] and column(whole.read_categories("a"), "event_type") == ["A", "B", "B"]
+    assert column(whole.read_all("1~~~1"), "event_type") == ["B", "B"] and column(whole.read_categories("a", after="2~~~2"), "event_type") == []
+    assert column(whole.read_all_backwards(), "stitched")[0] == "2~~~2"
+    for call in (lambda: whole.read_stream("a", "1"), lambda: whole.write("a", "1", [("C", b"")]), lambda: both.read_categories("a")):
+        with pytest.raises(Unsupported):
+            call()
 
 
 def test_commands(spark, tmp_path):

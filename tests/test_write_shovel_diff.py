@@ -1,6 +1,7 @@
 import json
 import random
 import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,8 @@ from tidelog.functions.jsoncompat import difference, same_bytes, same_json
 from tidelog.model import IncompatibleNewEvent, WrongExpectedVersion
 from tidelog.operators import append, batches, diff, shovel
 from tidelog.plans import catalog
-from tidelog.sources.legacy import from_legacy, to_legacy
+from tidelog.sources.jdbc import JdbcEvents
+from tidelog.sources.legacy import LegacyStore, from_legacy, to_legacy
 from tidelog.sources.store import LogStore, StoreLocked, retrying
 
 
@@ -64,7 +66,7 @@ def test_concurrent_writers(store):
 
 
 def test_lock_is_waited_for(store, monkeypatch):
-    with store._lock(), pytest.raises(StoreLocked), store._lock(wait_seconds=0.1):
+    with store.locked(), pytest.raises(StoreLocked), store.locked(wait_seconds=0.1):
         pass
 
 
@@ -268,3 +270,96 @@ def test_batches(spark):
     assert complete(None) == [0, 1] and complete(5) == [0, 1, 2] and complete(4) == [0, 1]
     stale = keyed(spark, [(7, None), (6, None), (100, 94), (100, 93)], "live long, archived long").select(batches.is_stale(F.col("live"), F.col("archived"), 2).alias("s"))
     assert column(stale, "s") == [True, False, False, True]
+
+
+def test_copy_goes_on_from_its_checkpoint(spark, store, tmp_path):
+    log = make_log(spark, [("a", "1", "A", b"1"), ("a", "1", "B", b"2", b'{"k":1}'), ("b", "1", "C"), ("a", "1", "D")])
+    first = log.where("position <= 2")
+    assert shovel.copy_new(first, store, max_batch=2) == 2
+    assert json.loads(column(store.log.orderBy("position"), "metadata")[-1]) == {"k": 1, "shovel_position": "2"}
+    assert shovel.shovel_until_caught_up(lambda: log, store) == 2 and shovel.copy_new(log, store) == 0
+    got = store.log.orderBy("position")
+    assert column(got, "event_type") == ["A", "B", "C", "D"] and column(got, "event_number") == [0, 1, 0, 2]
+    # A copy whose chunks are cut otherwise repeats them without harm; another event in its way is an error.
+    again = LogStore(spark, str(tmp_path / "again"))
+    assert again.write_numbered(log.where("position <= 2")) == 2
+    assert again.write_numbered(shovel.shovel(log, max_batch=1), shovel.same_but_position) == 2
+    with pytest.raises(WrongExpectedVersion):
+        LogStore(spark, str(tmp_path / "other")).write_numbered(log.where("position >= 2"))
+    with pytest.raises(IncompatibleNewEvent):
+        again.write_numbered(log.withColumn("data", F.lit(b"x")))
+
+
+@pytest.mark.parametrize("text, kept", [("", {}), ("[1]", {}), ("{}", {}), ("{ }", {}), ('{"a":"}"}', {"a": "}"}), ('{"shovel_position":"7","b":[1,{"c":2}]}', {"b": [1, {"c": 2}]}), ('{"a":1, "shovel_position" : "7" }', {"a": 1}), ("{broken", {}), (None, {})])
+def test_stamps_without_python(spark, text, kept):
+    df = spark.createDataFrame([(text, 42)], "m string, position long").select(shovel.stamped(F.col("m"), F.col("position")).alias("m"))
+    assert json.loads(df.first()["m"]) == kept | {"shovel_position": "42"}
+    assert "Python" not in df._jdf.queryExecution().toString()
+
+
+def test_dead_writers_lock_is_taken_over(spark, tmp_path):
+    short = LogStore(spark, str(tmp_path / "s"), lease_seconds=0.5)
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s/_lock").touch()
+    with pytest.raises(StoreLocked), short.locked(wait_seconds=0.1):
+        pass
+    time.sleep(0.6)
+    short.write("a", "1", [("A", b"")])
+    assert short.log.count() == 1 and not (tmp_path / "s/_lock").exists()
+
+
+def test_appends_look_at_their_streams_only(spark):
+    log = make_log(spark, [("a", "1", "A"), ("b", "2", "B")])
+    new = spark.createDataFrame([(0, "b", "2")], "ord long, stream_category string, stream_id string")
+    assert [tuple(r) for r in append.versions_of(log, new).collect()] == [("b", "2", 0)]
+
+
+def test_legacy_writers(spark, tmp_path):
+    old = LegacyStore(spark, str(tmp_path / "t"), now="2024-01-01 00:00:00")
+    old.save([("A", b"1", b'{"effective_timestamp":"2020-01-01T00:00:00Z"}'), ("B", b"2")])
+    old.save_auto_increment([("C", b"3")])
+    assert column(old.page(), "version") == [1, 2, 3] and column(old.page(1, 1), "event_type") == ["B"]
+    assert [t.year for t in column(old.page(), "effective_timestamp")] == [2020, 2024, 2024]
+    with pytest.raises(WrongExpectedVersion):
+        old.save([("D", b"4")], expected_version=2)
+    with pytest.raises(ValueError):
+        old.save_auto_increment([("D", b"4")], expected_version=3)
+    assert old.save_idempotently([("C", b"3"), ("D", b"4")], expected_version=2) == 1
+    assert old.save_idempotently([("C", b"3"), ("D", b"4")], expected_version=2) == 0
+    with pytest.raises(IncompatibleNewEvent):
+        old.save_idempotently([("X", b"3")], expected_version=2)
+    with pytest.raises(WrongExpectedVersion):
+        old.save_idempotently([("X", b"3")], expected_version=9)
+    old.write("all", "all", [("E", b"5")], expected_version=3, metadata=False)
+    for bad in (("x", "all", [("F", b"")]), ("all", "all", [("F", b"", b"m")])):
+        with pytest.raises(ValueError):
+            old.write(*bad, metadata=False)
+    with pytest.raises(ValueError):
+        old.read_stream("other", "1")
+    assert column(old.read_stream("all", "all", 2), "event_type") == ["D", "E"]
+
+
+def test_jdbc_table(spark, tmp_path):
+    """The embedded database that comes with Spark, under other column names."""
+    table = JdbcEvents(spark, f"jdbc:derby:{tmp_path}/db;create=true", "events", {"position": "pos", "timestamp": "written_at"}, {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"})
+    spark._jvm.java.lang.Class.forName("org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    table.create()
+    new = LogStore(spark, str(tmp_path / "s")).events
+    table.write(new("a", "1", [("A", b"1", b"m"), ("B", b"2")]), expected_version=-1)
+    table.write(new("a", "2", [("C", b"3")]))
+    table.write(new("a", "1", [("D", b"4")]), expected_version=1)
+    with pytest.raises(WrongExpectedVersion):
+        table.write(new("a", "1", [("E", b"")]), expected_version=0)
+    assert by(table.log(2), "position", "position", "event_type", "event_number") == [(1, "A", 0), (2, "B", 1), (3, "C", 0), (4, "D", 2)]
+    assert bytes(table.log().where("position = 1").first()["metadata"]) == b"m"
+    assert column(table.page(1, 2), "event_type") == ["B", "C"]
+    own = table.log().where("stream_category = 'a' and stream_id = '1' and position > 1")
+    pushed = own._jdf.queryExecution().executedPlan().toString()
+    assert column(own.orderBy("position"), "event_type") == ["B", "D"] and "EqualTo(STREAM_ID,1)" in pushed.replace("stream_id", "STREAM_ID")
+
+
+def test_one_walk_for_several_listeners(spark):
+    log = make_log(spark, [("a", "1", "A"), ("a", "1", "B")])
+    seen = []
+    diff.broadcast(diff.diff(diff.diff_events(log), diff.diff_events(log)), lambda c: seen.append(c.count()), lambda c: seen.append(diff.summary(c).count()))
+    assert seen == [2, 4]

@@ -13,6 +13,8 @@ start costs time and never changes the result.  Nothing but such windows meets i
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -184,6 +186,14 @@ def diff(a: DataFrame, b: DataFrame, window: int = WINDOW) -> DataFrame:
     return out.select("seq", "class", "a_position", "b_position", "a_ts", "a_type", "b_ts", "b_type")
 
 
+def broadcast(compared: DataFrame, *listeners: Callable[[DataFrame], None]) -> DataFrame:
+    """Hands one comparison to several listeners; it is walked once, since it is written before."""
+    once = written(compared, "diff-compared")
+    for listener in listeners:
+        listener(once)
+    return once
+
+
 def summary(compared: DataFrame) -> DataFrame:
     """Per class, side and type: how many, and the timestamps met first and last."""
     sides = [compared.where(f"{s}_position is not null").select("seq", "class", F.lit(s).alias("side"), F.col(f"{s}_type").alias("type"), F.col(f"{s}_ts").alias("ts")) for s in "ab"]

@@ -43,9 +43,13 @@ def by_effective_timestamp(fall_back_to_timestamp: bool = False) -> Column:
     return effective_timestamp(text, F.col("timestamp").cast("timestamp") if fall_back_to_timestamp else None)
 
 
-def by_stream_index() -> Column:
-    """A constant: input 0 as a whole, then input 1, and so on."""
-    return F.lit(0)
+class StreamIndex:
+    """Marks the merge of one input after the other."""
+
+
+def by_stream_index() -> StreamIndex:
+    """Input 0 as a whole, then input 1, and so on."""
+    return StreamIndex()
 
 
 def within_horizon(log: DataFrame, snapshot: Column, by: list[str], ts: str = "timestamp") -> DataFrame:
@@ -57,7 +61,7 @@ def within_horizon(log: DataFrame, snapshot: Column, by: list[str], ts: str = "t
 
 def merge(
     inputs: list[Input],
-    key: Column,
+    key: Column | StreamIndex,
     snapshot: Column | None = None,
     positions: bool = False,
     bucket_seconds: int = DAY_SECONDS,
@@ -73,7 +77,8 @@ def merge(
     union = parts[0]
     for p in parts[1:]:
         union = union.unionByName(p, allowMissingColumns=True)
-    union = union.withColumn("_key", key)
+    constant = isinstance(key, StreamIndex)
+    union = union.withColumn("_key", F.lit(0) if constant else key)
     if snapshot is not None:
         union = within_horizon(union, snapshot, ["input_idx"])
     keyed = running(union, {"merge_key": ("max", "_key")}, by=["input_idx"]).drop("_key")
@@ -83,7 +88,6 @@ def merge(
     order = ["merge_key", "input_idx", "position"] if time_like or kind in ("bigint", "int", "double") else None
     if order is None:
         raise TypeError(f"merge keys must be timestamps or numbers, not {kind}")
-    constant = len(inputs) and str(key) == str(by_stream_index())
     if constant:
         ranked = running(keyed, {"_in": ("count", None)}, by=["input_idx"])
         sizes = keyed.groupBy("input_idx").agg(F.count("*").alias("_n"))

@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
+from typing import TYPE_CHECKING
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.operators.positional import running
 from tidelog.operators.reads import in_categories, read_last_event
+from tidelog.sources.tables import written
+
+if TYPE_CHECKING:
+    from tidelog.sources.store import LogStore
 
 MAX_BATCH = 10_000
 
@@ -37,22 +42,21 @@ def with_checkpoints(chunked: DataFrame) -> DataFrame:
     return out.withColumn("checkpoint", F.col("position") == F.col("_end")).drop("_place", "_end")
 
 
-def _stamp(metadata: pd.Series, position: pd.Series) -> pd.Series:
-    def one(text: str | None, p: int) -> str:
-        try:
-            found = json.loads(text or "")
-        except ValueError:
-            found = {}
-        if not isinstance(found, dict):
-            found = {}
-        return json.dumps({**found, "shovel_position": str(p)}, separators=(",", ":"), ensure_ascii=False)
-
-    return pd.Series([one(t, p) for t, p in zip(metadata, position)], dtype=object)
-
-
 def stamped(metadata: Column, position: Column) -> Column:
-    """Adds ``shovel_position`` to a JSON object; any other text is replaced by such an object."""
-    return F.pandas_udf(_stamp, "string")(metadata, position)
+    """Adds ``shovel_position`` to a JSON object; any other text is replaced by such an object.
+
+    The object's other text stays as it is.  No Python: a checkpoint is one row in thousands, and a
+    Python function in a conditional expression would get them all.
+    """
+    text = F.trim(F.coalesce(metadata, F.lit("")))
+    field = F.concat(F.lit('"shovel_position":"'), position.cast("string"), F.lit('"'))
+    is_object = text.startswith("{") & F.try_parse_json(text).isNotNull()
+    has = F.get_json_object(text, "$.shovel_position").isNotNull()
+    known = r'"shovel_position"\s*:\s*"[^"]*"'
+    body = F.regexp_replace(text, r"\s*\}$", "")
+    added = F.concat(body, F.when(body.rlike(r"\{\s*$") & (F.length(F.regexp_replace(body, r"\s", "")) == 1), F.lit("")).otherwise(F.lit(",")), field, F.lit("}"))
+    replaced = F.concat(F.regexp_extract(text, f"(?s)^(.*?){known}", 1), field, F.regexp_extract(text, f"(?s)^.*?{known}(.*)$", 1))
+    return F.when(~is_object, F.concat(F.lit("{"), field, F.lit("}"))).when(has, replaced).otherwise(added)
 
 
 def shovel(log: DataFrame, output_category: str | None = None, max_batch: int = MAX_BATCH) -> DataFrame:
@@ -81,6 +85,26 @@ def resume_position(output: DataFrame, output_category: str | None = None) -> in
         raise ValueError(f"the last event has no shovel position: {last[0]['m']}") from e
 
 
+def copy_new(log: DataFrame, store: LogStore, output_category: str | None = None, max_batch: int = MAX_BATCH) -> int:
+    """Copies what ``store`` doesn't have yet, with checkpoints; returns how many events it wrote.
+
+    It goes on from the checkpoint of the store's last event.  A chunk must meet its stream at the
+    version before its first event, or repeat events that differ only in their checkpoints; so a copy
+    that died is repeated without harm.
+    """
+    after = resume_position(store.log, output_category)
+    rows = shovel(log if after is None else log.where(F.col("position") > after), output_category, max_batch)
+    return store.write_numbered(written(rows, "shovel-chunks"), same_but_position)
+
+
+def shovel_until_caught_up(log: Callable[[], DataFrame], store: LogStore, output_category: str | None = None, max_batch: int = MAX_BATCH) -> int:
+    """Repeats :func:`copy_new` on the log as it then is until nothing is new."""
+    total = 0
+    while n := copy_new(log(), store, output_category, max_batch):
+        total += n
+    return total
+
+
 def same_but_position(old: str, new: str) -> Column:
     """Compatibility of copies: type, data, and metadata without the checkpoint."""
     bare = lambda c: F.regexp_replace(F.col(f"{c}.metadata").cast("string"), r',?"shovel_position":"[^"]*"', "")

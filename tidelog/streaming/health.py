@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -64,6 +65,15 @@ def store_status(log: DataFrame) -> tuple[str, str]:
     return OK, "no events" if last is None else f"last position {last}"
 
 
+def archive_connection(max_position: Callable[[], object]) -> tuple[str, str]:
+    """Whether an archive can be listed: its last position, as ``max_position`` finds it, or that it is empty."""
+    try:
+        last = max_position()
+    except Exception as e:  # any failure to list is what this reports
+        return CRITICAL, str(e)[:200]
+    return OK, "empty archive" if last is None else f"archived up to {last}"
+
+
 def archive_status(live: int, archived: int | None, batch_size: int) -> tuple[str, str]:
     behind = live > 3 * batch_size and (archived is None or live - archived > 3 * batch_size)
     return (WARNING if behind else OK), f"live {live}, archived {archived}"
