@@ -1,18 +1,19 @@
 """Every query against its SQL on the smallest tables."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from tidelog.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
-ROWS_ONLY = {"diff_walk", "diff_summary", "diff_samples"}
 
 
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    return sorted(tuple("~" if x is None or x != x else str(x) for x in r) for r in frame.itertuples(index=False))
+    shown = lambda x: "~" if pd.isna(x) else str(int(x)) if isinstance(x, float) and x.is_integer() else str(x)
+    return sorted(tuple(map(shown, r)) for r in frame.itertuples(index=False))
 
 
 @pytest.fixture(scope="module")
@@ -30,9 +31,8 @@ def test_query(spark, db, name):
     assert rows(got) == rows(want)
 
 
-def test_the_rest_has_rows(spark):
-    assert set(catalog.queries()) - set(catalog.oracle_sql()) == ROWS_ONLY
-    assert all(catalog.queries()[n](spark, SF).count() for n in ROWS_ONLY)
+def test_every_query_has_sql():
+    assert set(catalog.queries()) == set(catalog.oracle_sql())
 
 
 def test_entry(spark):

@@ -84,10 +84,12 @@ def backdating(cutover: str, destination: str = EPOCH, metadata: str = "metadata
     def run(log: DataFrame) -> DataFrame:
         kind = dict(log.dtypes)[metadata]
         text = F.col(metadata).cast("string")
-        # Only rows that may move, or are in error, reach Python.
+        # Only rows that may move, or are in error, reach Python: a union, since a Python function in a
+        # conditional expression would get all rows.
         own = effective_timestamp_text(text)
         simple = (own != "") & (F.try_to_timestamp(own) >= F.lit(cutover).cast("timestamp")) & (F.size(F.split(text, '"effective_timestamp"')) == 2) & text.startswith('{"effective_timestamp":')
-        return log.withColumn(metadata, F.when(simple, F.col(metadata)).otherwise(rewrite(text).cast(kind)))
+        stays = F.coalesce(simple, F.lit(False))
+        return log.where(stays).unionByName(log.where(~stays).withColumn(metadata, rewrite(text).cast(kind)))
 
     return run
 

@@ -239,12 +239,12 @@ query("write_requests_refused", f"{_ASKED} SELECT stream_category, stream_id, ex
 
 def _repeated(s, d) -> tuple[DataFrame, DataFrame]:
     whole = log(s, d)
-    again = whole.where("position > 500 and position <= 800").withColumn("data", F.when(F.col("event_type") == "error", F.lit("{}")).otherwise(F.col("data")))
+    again = whole.where("position > 500").withColumn("data", F.when(F.col("event_type") == "error", F.lit("{}")).otherwise(F.col("data")))
     return whole.where("position <= 600"), again
 
 
 query("idempotent_overlap", "SELECT position, event_type <> 'error' AS compatible FROM ev WHERE position > 500 AND position <= 600")(lambda s, d: append.overlap(*_repeated(s, d)).select("position", "compatible"))
-query("idempotent_surplus", f"SELECT {SHOWN} FROM ev WHERE position > 600 AND position <= 800")(lambda s, d: append.surplus(_split(s, d)[0], log(s, d).where("position > 500 and position <= 800")).select(COLUMNS))
+query("idempotent_surplus", f"SELECT {SHOWN} FROM ev WHERE position > 600")(lambda s, d: append.surplus(_split(s, d)[0], log(s, d).where("position > 500")).select(COLUMNS))
 
 
 @query("json_compatibility", "SELECT position, CASE WHEN position % 3 = 0 THEN '/k' END AS difference FROM ev")
@@ -265,6 +265,30 @@ def _(s, d):
     return store.log.withColumn("data", F.col("data").cast("string")).select(COLUMNS)
 
 
+@query("store_rewrite", f"SELECT {SHOWN} FROM ev")
+def _(s, d):
+    """Events with their numbers written to a store, and then all again with half of them stored."""
+    store, whole = LogStore(s, _folder(s, "store")), _binary(log(s, d))
+    store.write_numbered(whole.where("position <= 600"))
+    store.write_numbered(whole)
+    return store.log.withColumn("data", F.col("data").cast("string")).select(COLUMNS)
+
+
+@query("legacy_write", "SELECT position AS version, effective_ts AS effective_timestamp, event_type, data AS body FROM ev")
+def _(s, d):
+    """Two appends to a table of the older kind, whose versions go on from its largest."""
+    store = legacy.LegacyStore(s, _folder(s, "legacy"))
+    rows = with_metadata(unnumbered(s, d)).select(F.col("position").alias("ord"), F.lit("all").alias("stream_category"), F.lit("all").alias("stream_id"), "event_type", *(F.col(c).cast("binary").alias(c) for c in ("data", "metadata")))
+    store.append(rows.where("ord <= 600"))
+    store.append(rows.where("ord > 600"))
+    return store.page().select("version", F.col("effective_timestamp").cast("timestamp_ntz").alias("effective_timestamp"), "event_type", F.col("body").cast("string").alias("body"))
+
+
+query("legacy_page", "SELECT position AS version, event_type FROM ev WHERE position > 300 ORDER BY position LIMIT 500")(
+    lambda s, d: unnumbered(s, d).select(F.col("position").alias("version"), "event_type").transform(lambda t: legacy.page(t, 300, 500))
+)
+
+
 @query("legacy_events", "SELECT position, 'all' AS stream_category, 'all' AS stream_id, position - 1 AS event_number, event_type, regexp_replace('{\"effective_timestamp\":\"' || strftime(effective_ts, '%Y-%m-%dT%H:%M:%S.%f') || 'Z\"}', '(\\.000000|000)Z', CASE WHEN microsecond(effective_ts) % 1000000 = 0 THEN 'Z' WHEN microsecond(effective_ts) % 1000 = 0 THEN 'Z' ELSE '\\1Z' END) AS metadata FROM ev")
 def _(s, d):
     table = unnumbered(s, d).select(F.col("position").alias("version"), F.col("effective_ts").alias("effective_timestamp"), "event_type", F.col("data").cast("binary").alias("body"))
@@ -301,6 +325,19 @@ def _(s, d):
     return unnumbered(s, d).where(F.col("position") > at).agg(F.lit(at).cast("long").alias("resume_position"), F.count("*").alias("left_over"))
 
 
+@query("shovel_copy", f"SELECT position, 'copy' AS stream_category, stream_id, event_number, event_type, data FROM ev")
+def _(s, d):
+    """A log copied in two runs, the second from the first one's checkpoint."""
+    store, whole = LogStore(s, _folder(s, "copy")), _metadata_as_binary(with_metadata(log(s, d)))
+    shovel.copy_new(whole.where("position <= 600"), store, "copy")
+    shovel.copy_new(whole, store, "copy")
+    return store.log.withColumn("data", F.col("data").cast("string")).select(COLUMNS)
+
+
+def _metadata_as_binary(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("binary") for c in ("data", "metadata")}).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+
+
 # Comparing
 
 
@@ -328,9 +365,27 @@ def _(s, d):
     return diff.diff(a, b).select("seq", "class", "a_position", "b_position")
 
 
-query("diff_walk")(lambda s, d: diff.diff(*_sides(s, d)))
-query("diff_summary")(lambda s, d: diff.summary(diff.diff(*_sides(s, d))))
-query("diff_samples")(lambda s, d: diff.samples(diff.diff(*_sides(s, d)), 20))
+#: The walk of two pointers, a step an iteration, and what each step paired.
+_WALK = f"""-- two pointers
+WITH RECURSIVE {LOG_SQL},
+ la AS MATERIALIZED (SELECT row_number() OVER (ORDER BY position) - 1 AS i, position AS p, strftime(effective_ts, '%Y-%m-%dT%H:%M:%S.%f') || 'Z' AS ts, event_type AS t, data AS body FROM ev),
+ lb AS MATERIALIZED (SELECT row_number() OVER (ORDER BY p) - 1 AS j, p, ts, t, CASE WHEN p % 10 = 3 THEN '{{}}' ELSE body END AS body FROM la WHERE p % 97 <> 5),
+ r AS (SELECT cast(0 AS bigint) AS seq, cast(0 AS bigint) AS i, cast(0 AS bigint) AS j
+   UNION ALL SELECT seq + 1, i + cast(c <> 'b' AS bigint), j + cast(c <> 'a' AS bigint) FROM (
+     SELECT r.seq, r.i, r.j, CASE WHEN lb.j IS NULL THEN 'a' WHEN la.i IS NULL THEN 'b'
+       WHEN cast(la.ts = lb.ts AS integer) + cast(la.t = lb.t AS integer) + cast(la.body = lb.body AS integer) >= 2 THEN 'both' WHEN la.ts <= lb.ts THEN 'a' ELSE 'b' END AS c
+     FROM r LEFT JOIN la ON la.i = r.i LEFT JOIN lb ON lb.j = r.j WHERE la.i IS NOT NULL OR lb.j IS NOT NULL)),
+ s AS (SELECT seq, i, j, lead(i) OVER (ORDER BY seq) > i AS has_a, lead(j) OVER (ORDER BY seq) > j AS has_b FROM r),
+ compared AS (SELECT seq, CASE WHEN NOT has_b THEN 'unmatched_a' WHEN NOT has_a THEN 'unmatched_b' WHEN la.ts = lb.ts AND la.t = lb.t AND la.body = lb.body THEN 'matching' ELSE 'similar' END AS class,
+   la.p AS a_position, lb.p AS b_position, la.ts AS a_ts, la.t AS a_type, lb.ts AS b_ts, lb.t AS b_type
+   FROM s LEFT JOIN la ON la.i = s.i AND has_a LEFT JOIN lb ON lb.j = s.j AND has_b WHERE has_a OR has_b)"""
+query("diff_walk", f"{_WALK} SELECT * FROM compared")(lambda s, d: diff.diff(*_sides(s, d)))
+query(
+    "diff_summary",
+    f"""{_WALK}, sides AS (SELECT seq, class, 'a' AS side, a_type AS type, a_ts AS ts FROM compared WHERE a_position IS NOT NULL UNION ALL SELECT seq, class, 'b', b_type, b_ts FROM compared WHERE b_position IS NOT NULL)
+ SELECT class, side, type, count(*) AS n, arg_min(ts, seq) AS first_ts, arg_max(ts, seq) AS last_ts FROM sides GROUP BY class, side, type""",
+)(lambda s, d: diff.summary(diff.diff(*_sides(s, d))))
+query("diff_samples", f"{_WALK} SELECT * FROM compared QUALIFY row_number() OVER (PARTITION BY class ORDER BY seq) <= 20")(lambda s, d: diff.samples(diff.diff(*_sides(s, d)), 20))
 
 # Archives
 
@@ -392,6 +447,44 @@ def _(s, d):
     return archives.read_cpio(s, folder).where(F.col("position") >= after).select("position", "stream_id", "event_number", F.col("data").cast("string").alias("data"))
 
 
+@query("cpio_incremental", "SELECT position AS place, stream_id, event_number FROM ev")
+def _(s, d):
+    """An archive made in two runs, the second from the boundary that the first left."""
+    folder, whole = _folder(s, "cpio"), _binary(log(s, d))
+    archives.archive_new_events(whole.where("position <= 600"), folder, create_initial=True, per_file=500)
+    archives.archive_new_events(whole, folder, per_file=500)
+    place = F.conv(F.substring("position", 1, 8), 16, 10).cast("long") + 1
+    return archives.read_cpio(s, folder).select(place.alias("place"), "stream_id", "event_number")
+
+
+@query("framed_archive_end", "SELECT (SELECT max(position) FROM ev) // 256 * 256 AS max_position")
+def _(s, d):
+    folder = _folder(s, "framed")
+    archives.write_framed(_binary(log(s, d)), folder, "store", 256).count()
+    return s.createDataFrame([(archives.max_archived_position(s, folder, "store"),)], "max_position long")
+
+
+@query("cache_round_trip", f"SELECT {SHOWN}, (SELECT max(position) FROM ev) AS last_position FROM ev")
+def _(s, d):
+    """A log written as cache files and read back, with the position of the last record."""
+    folder = _folder(s, "cache")
+    archives.write_cache(_binary(log(s, d)), folder, 500).count()
+    last = int(archives.last_cached_position(s, folder))
+    rows = archives.read_cache(s, folder).withColumns({"position": F.col("position").cast("long"), "data": F.col("data").cast("string")})
+    return rows.select(*COLUMNS, F.lit(last).cast("long").alias("last_position"))
+
+
+@query("flat_files_round_trip", f"SELECT {SHOWN} FROM ev")
+def _(s, d):
+    """Two appends to a folder with a file for each event, and its names and contents read back."""
+    folder = _folder(s, "flat")
+    rows = _binary(unnumbered(s, d)).withColumnRenamed("position", "ord")
+    archives.write_flat(rows.where("ord <= 600"), folder)
+    archives.write_flat(rows.where("ord > 600"), folder)
+    place = F.conv(F.substring("position", 1, 8), 16, 10).cast("long")
+    return archives.read_flat(s, folder).withColumns({"position": place, "data": F.col("data").cast("string")}).select(COLUMNS)
+
+
 @query("archive_then_live", "SELECT position AS event_number_in_log, event_type FROM ev")
 def _(s, d):
     folder = _folder(s, "cpio")

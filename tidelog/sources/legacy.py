@@ -39,6 +39,12 @@ def to_legacy(log: DataFrame, now=None) -> DataFrame:
     return log.select(F.col("position").alias("version"), effective_timestamp(text, fallback).alias("effective_timestamp"), "event_type", F.col("data").alias("body"))
 
 
+def page(table: DataFrame, after: int = 0, size: int | None = None) -> DataFrame:
+    """Rows of versions above ``after``, in order; the first ``size`` of them."""
+    rows = table.where(F.col("version") > after).orderBy("version")
+    return rows if size is None else rows.limit(size)
+
+
 TABLE = "version long, effective_timestamp timestamp, event_type string, body binary"
 
 
@@ -61,8 +67,7 @@ class LegacyStore:
 
     def page(self, after: int = 0, size: int | None = None) -> DataFrame:
         """Rows of versions above ``after``, in order; the first ``size`` of them."""
-        rows = self.table.where(F.col("version") > after).orderBy("version")
-        return rows if size is None else rows.limit(size)
+        return page(self.table, after, size)
 
     def read_stream(self, category: str, id_: str, after: int = -1) -> DataFrame:
         """The pretended stream; there is no other."""
@@ -82,6 +87,11 @@ class LegacyStore:
         rows = to_legacy(placed, self.now)
         rows.select("version", "effective_timestamp", "event_type", F.col("body").cast("binary").alias("body")).write.mode("append").parquet(f"{self.folder}/table")
 
+    def append(self, new: DataFrame) -> None:
+        """Appends new events (``ord``, the pretended stream, type, data, metadata)."""
+        with self._guard.locked():
+            self._add(new)
+
     def _new(self, events: Sequence[tuple]) -> DataFrame:
         return self._guard.events(*self.stream, events)
 
