@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidelog.operators.positional import position_bucket, running, time_bucket
+from tidelog.operators.positional import balanced_bucket, position_bucket, running, time_bucket
 
 
 @pytest.mark.parametrize("width", [1, 3, 7, 1000])
@@ -41,3 +41,20 @@ def test_unknown_kind(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "position long, x long")
     assert running(df, {"n": ("count", None), "m": ("max", "x")}).count() == 0
+
+
+def test_balanced_buckets(spark):
+    """Ranks of keys with an outlier that most rows share: no bucket holds them all, and the order stays."""
+    rng = random.Random(1)
+    rows = [(p, p % 2, 50 if p > 300 else rng.choice([None, *range(40)])) for p in range(1000)]
+    df = spark.createDataFrame(rows, "position long, i long, k long")
+    bucket = balanced_bucket(df, "k", ["i", "position"], parts=8, width=100)
+    assert df.groupBy(bucket.alias("b")).count().agg(F.max("count")).first()[0] < 250
+    got = running(df, {"n": ("count", None)}, order=["k", "i", "position"], bucket=bucket)
+    want = sorted(rows, key=lambda r: (r[2] is not None, r[2], r[1], r[0]))
+    assert [r["position"] for r in got.orderBy("n").collect()] == [r[0] for r in want] and sorted(r["n"] for r in got.collect()) == list(range(1, 1001))
+    times = df.withColumn("k", F.timestamp_seconds(F.coalesce("k", F.lit(0))))
+    got = running(times, {"n": ("count", None)}, order=["k", "position"], bucket=balanced_bucket(times, "k", ["position"], 8))
+    assert [r["n"] for r in got.orderBy("k", "position").collect()] == list(range(1, 1001))
+    empty = df.where("false")
+    assert running(empty, {"n": ("count", None)}, order=["k", "position"], bucket=balanced_bucket(empty, "k", ["position"])).count() == 0

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.functions.text import effective_timestamp
-from tidelog.operators.positional import DAY_SECONDS, position_bucket, running, time_bucket
+from tidelog.operators.positional import balanced_bucket, position_bucket, running
 
 
 @dataclass(frozen=True)
@@ -64,7 +64,7 @@ def merge(
     key: Column | StreamIndex,
     snapshot: Column | None = None,
     positions: bool = False,
-    bucket_seconds: int = DAY_SECONDS,
+    buckets: int | None = None,
 ) -> DataFrame:
     """The inputs' events with ``input_idx``, ``merge_key`` and ``merge_rank`` (from 1).
 
@@ -95,7 +95,8 @@ def merge(
         offsets = sizes.join(before, F.col("_i") < F.col("input_idx"), "left").groupBy("input_idx").agg(F.coalesce(F.sum("_m"), F.lit(0)).alias("_offset"))  # a row per input
         ranked = ranked.join(F.broadcast(offsets), "input_idx").withColumn("merge_rank", F.col("_in") + F.col("_offset")).drop("_in", "_offset")
     else:
-        bucket = time_bucket("merge_key", bucket_seconds) if time_like else F.floor(F.col("merge_key"))
+        # A late event gives all behind it its key: buckets are cut by rows, not by time.
+        bucket = balanced_bucket(keyed, "merge_key", ["input_idx", "position"], buckets)
         ranked = running(keyed, {"merge_rank": ("count", None)}, order=order, bucket=bucket)
     if not positions:
         return ranked

@@ -23,6 +23,24 @@ def time_bucket(ts: str, seconds: int = DAY_SECONDS) -> Column:
     return F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / (seconds * 1_000_000))
 
 
+def balanced_bucket(df: DataFrame, key: str, ties: list[str], parts: int | None = None, width: int = WIDTH) -> Column:
+    """A bucket that doesn't decrease along ``key`` and then ``ties``, of about equal numbers of rows.
+
+    Approximate quantiles of the key, found in one aggregation, are the borders.  A key that is more
+    than one of them holds too many rows for a bucket; it is cut by ``ties``, of which the last is a
+    position and the others are few.  Keys are timestamps or numbers.
+    """
+    x = F.unix_micros(F.col(key).cast("timestamp")) if dict(df.dtypes)[key].startswith("timestamp") else F.col(key)
+    x = x.cast("double")
+    parts = parts or min(256, 4 * df.sparkSession.sparkContext.defaultParallelism)
+    borders = df.agg(F.percentile_approx(x, [k / parts for k in range(1, parts)], 50 * parts)).first()[0] or [0.0]
+    hot = sorted({b for b, c in zip(borders, borders[1:]) if b == c})
+    below = F.size(F.filter(F.lit(sorted(set(borders))), lambda b: b < x))
+    is_hot = x.isin(hot) if hot else F.lit(False)
+    own = [F.when(is_hot, F.col(t)).otherwise(F.lit(0)).cast("long") for t in ties[:-1]] + [F.when(is_hot, F.floor(F.col(ties[-1]) / width)).otherwise(F.lit(0)).cast("long")]
+    return F.struct((2 * below + is_hot.cast("int")).alias("range"), *(c.alias(f"t{k}") for k, c in enumerate(own)))
+
+
 def running(
     df: DataFrame,
     columns: dict[str, tuple[str, Column | str | None]],

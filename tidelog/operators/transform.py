@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidelog.functions.text import effective_timestamp_text
 from tidelog.model import stream_id
-from tidelog.operators.positional import running, time_bucket
+from tidelog.operators.positional import balanced_bucket, running
 from tidelog.operators.reads import read_last_event
 
 Op = Callable[[DataFrame], DataFrame]
@@ -118,7 +118,7 @@ def reordering(cutoff: Column, key: str, after: int | None = None, bucket: Colum
     The tail stays in log order.  If no key reaches the cutoff, the result is empty.  ``after``
     resumes: the event at that position and those ranked before it are left out.  Ties in the key
     keep log order.  ``bucket`` cuts the sorted part for parallel ranking; it must not decrease
-    with the key (by default, days of a timestamp key).
+    with the key (by default, ranges of about equal numbers of rows).
     """
 
     def run(log: DataFrame) -> DataFrame:
@@ -126,7 +126,11 @@ def reordering(cutoff: Column, key: str, after: int | None = None, bucket: Colum
         flagged = log.crossJoin(F.broadcast(first)).where(F.col("_first").isNotNull())  # one row
         tail = (F.col("position") >= F.col("_first")).cast("int")
         flagged = flagged.withColumn("_tail", tail).withColumn("_key", F.when(tail == 0, F.col(key))).drop("_first")
-        cut = F.when(F.col("_tail") == 0, F.coalesce(time_bucket(key) if bucket is None else bucket, F.lit(0))).otherwise(F.floor(F.col("position") / (1 << 20)))
+        place = F.floor(F.col("position") / (1 << 20)).cast("long")
+        if bucket is None:
+            cut = F.when(F.col("_tail") == 0, balanced_bucket(flagged.where("_tail = 0"), "_key", ["position"])).otherwise(F.struct(F.lit(0).alias("range"), place.alias("t0")))
+        else:
+            cut = F.when(F.col("_tail") == 0, F.coalesce(bucket, F.lit(0))).otherwise(place)
         ranked = running(flagged, {"_in": ("count", None)}, order=["_key", "position"], by=["_tail"], bucket=cut)
         head = flagged.agg(F.sum(1 - F.col("_tail")).alias("_head"))
         ranked = ranked.crossJoin(F.broadcast(head)).withColumn("rank", (F.col("_in") + F.when(F.col("_tail") == 1, F.col("_head")).otherwise(0)).cast("long"))
