@@ -35,7 +35,7 @@ OPERATORS = {
 @pytest.mark.parametrize("name", sorted(OPERATORS))
 def test_rows_of_clashing_names_and_a_long_text(spark, name):
     """A row for each row, whatever extra columns are called and with a text of four megabytes among them."""
-    long = " ".join(f"w{i % 50_021} {i * 7919 % 104_729:x}" for i in range(330_000))
+    long = " ".join(f"w{i % 50_021} {i * 7919 % 104_729:x}" for i in range(340_000))
     assert len(long) > 4_000_000
     own = frame(spark)
     longest = own.where("doc_id = 3").withColumn("doc_id", F.lit(77).cast("long")).withColumn("text", F.lit(long))
