@@ -293,7 +293,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.75) -> DataFra
     seeking = postings.join(frequency, "hash").withColumn("rank", rarest).where(F.col("rank") <= F.col("n") - need + 1).select("iid", "hash")
     pairs = hits.select("k1", "k2", F.explode("hashes").alias("hash")).join(seeking, "hash").select("k1", "k2", "iid").distinct()
     covered = F.size(F.array_intersect("hashes", "windows"))
-    whole = pairs.join(hits, ["k1", "k2"]).join(items, "iid").where(covered >= need).withColumn("coverage", covered / F.col("n"))
+    # The hits grow with the corpus, and far more in memory than their files tell: never a broadcast side.
+    whole = pairs.join(hits.hint("merge"), ["k1", "k2"]).join(items, "iid").where(covered >= need).withColumn("coverage", covered / F.col("n"))
     found = whole.drop("hashes", "windows", "bits", "iid", "n", "width").mapInArrow(_agreeing(share), "k1 long, k2 long, item_id long, coverage double")
     return found.groupBy("k1", "k2").agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.max("coverage").alias("coverage"))
 
